@@ -36,6 +36,8 @@ JS_WS = "\\t\\n\\u000B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\
 
 # Characters percent-encoded in a path: C0 controls, space, non-ASCII, and " < > ` { }
 _PATH_ENCODE_CHAR = r'[^\x21-\x7E]|["<>`{}]'
+# ... and in a query (special schemes): C0, space, non-ASCII, " < > '
+_QUERY_ENCODE_CHAR = r"[^\x21-\x7E]|[\"<>']"
 _SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _BAD_HOST = r"[\x00-\x20#/:<>?@\[\\\]^|%\x7F]"
 _CANON_RE = r"^([a-z][a-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?$"
@@ -59,17 +61,21 @@ def _pct_decode(c: Column, plus_is_space: bool) -> Column:
     return F.coalesce(F.try_url_decode(fixed), c)
 
 
-def _encode_path(p: Column) -> Column:
+def _encode_chars(p: Column, char_class: str) -> Column:
     chars = F.regexp_extract_all(p, F.lit("(?s)."), 0)
     enc = F.transform(
         chars,
         lambda ch: F.when(
-            ch.rlike(_PATH_ENCODE_CHAR), F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20"))
+            ch.rlike(char_class), F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20"))
         ).otherwise(ch),
     )
     return F.array_join(enc, "")
 
 
+def _encode_path(p: Column) -> Column:
+    return _encode_chars(p, _PATH_ENCODE_CHAR)
+
+
 def _remove_dot_segments(p: Column) -> Column:
     """RFC 3986 / WHATWG dot-segment removal on a path starting with '/'."""
     segs = F.split(F.substring(p, 2, 1 << 30), "/", -1)
@@ -122,11 +128,13 @@ def _normalize_query(q: Column) -> Column:
 
 
 def canonicalize(df: DataFrame, src: str | Column, base: str | Column | None = None,
-                 out: str = "normalized_url") -> DataFrame:
+                 out: str = "normalized_url", canonical: bool = True) -> DataFrame:
     """Add column ``out`` = canonical form of ``src`` resolved against ``base``.
 
     ``base`` must be an absolute http(s) URL column (e.g. a page's final URL);
     relative input without a usable base gives NULL, as do bad hosts/ports.
+    With ``canonical=False`` the result is the plain WHATWG ``href`` (no
+    slash collapsing, trailing-slash strip or query rewrite).
     """
     p = f"__u{next(_counter)}_"
 
@@ -239,10 +247,17 @@ def canonicalize(df: DataFrame, src: str | Column, base: str | Column | None = N
     p1 = F.when(c("p0").rlike(r"(^|/)(\.|%2[eE]){1,2}(/|$)"), _remove_dot_segments(c("p0"))).otherwise(c("p0"))
     df = df.withColumn(p + "p1", p1)
     p2 = F.when(c("p1").rlike(_PATH_ENCODE_CHAR), _encode_path(c("p1"))).otherwise(c("p1"))
-    p3 = F.regexp_replace(p2, "/{2,}", "/")
-    p4 = F.when(p3 != "/", F.regexp_replace(p3, "/$", "")).otherwise(p3)
+    if canonical:
+        p3 = F.regexp_replace(p2, "/{2,}", "/")
+        p4 = F.when(p3 != "/", F.regexp_replace(p3, "/$", "")).otherwise(p3)
+        q = F.when(c("rawq").isNull() | (c("rawq") == ""), F.lit("")).otherwise(_normalize_query(c("rawq")))
+    else:
+        p4 = p2
+        q = F.when(c("rawq").isNull(), F.lit("")).otherwise(
+            F.concat(F.lit("?"), F.when(c("rawq").rlike(_QUERY_ENCODE_CHAR), _encode_chars(c("rawq"), _QUERY_ENCODE_CHAR))
+                     .otherwise(c("rawq")))
+        )
     df = df.withColumn(p + "path", p4)
-    q = F.when(c("rawq").isNull() | (c("rawq") == ""), F.lit("")).otherwise(_normalize_query(c("rawq")))
     df = df.withColumn(p + "q", q)
     opaque_path = F.regexp_extract(c("tail"), r"^([^?#]*)", 1)
     result = (
