@@ -68,3 +68,30 @@ def ensure_state_root(spark: SparkSession) -> str:
 def new_run_dir(spark: SparkSession, kind: str) -> str:
     """A fresh folder under the state root for one job run (never reused)."""
     return f"{ensure_state_root(spark)}/wavecrawl/{kind}-{uuid.uuid4().hex[:12]}"
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``wavecrawl`` importable in Python workers (``addPyFile`` of a zip).
+
+    Needed wherever a pandas UDF / ``mapInPandas`` references package code.
+    Done once per SparkContext.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _shipped:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="wavecrawl-pkg-"), "wavecrawl.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.join("wavecrawl", os.path.relpath(full, pkg_dir)))
+    sc.addPyFile(out)
+    _shipped.add(key)
