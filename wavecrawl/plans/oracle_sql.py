@@ -243,6 +243,104 @@ FROM numbered
 """
 
 
+CRAWL_REACHABILITY = """
+WITH RECURSIVE edges AS (
+  SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+),
+reach(crawl_id, partkey, depth) USING KEY (crawl_id, partkey) AS (
+  SELECT crawl_id, partkey, 0 FROM (VALUES (1::BIGINT, 1::BIGINT), (2::BIGINT, 2::BIGINT)) s(crawl_id, partkey)
+  UNION
+  SELECT r.crawl_id, e.dst, min(r.depth) + 1
+  FROM reach r JOIN edges e ON e.src = r.partkey
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.reach x WHERE x.crawl_id = r.crawl_id AND x.partkey = e.dst)
+  GROUP BY r.crawl_id, e.dst
+)
+SELECT crawl_id, 'https://docs.example.com/guide/p' || partkey AS url, CAST(depth AS INTEGER) AS depth,
+  'success' AS status, 'guide/p' || partkey || '.md' AS output_path
+FROM reach
+"""
+
+SITEMAP_EXPAND = """
+WITH listed AS (
+  SELECT CAST(n.n_regionkey AS BIGINT) AS crawl_id, n.n_nationkey, c.c_custkey
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+  WHERE c.c_mktsegment NOT IN ('MACHINERY', 'FURNITURE')
+)
+SELECT crawl_id,
+  CAST(row_number() OVER (PARTITION BY crawl_id ORDER BY n_nationkey, floor(c_custkey / 50000), c_custkey) AS BIGINT)
+    AS seq,
+  'https://r' || crawl_id || '.example.com/docs/c' || c_custkey AS url, 1 AS depth
+FROM listed
+UNION ALL
+SELECT CAST(r_regionkey AS BIGINT), CAST(0 AS BIGINT), 'https://r' || r_regionkey || '.example.com/docs/start', 0
+FROM region
+"""
+
+_ORDER_WAVE = """
+o AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus AS st, o_orderpriority AS prio,
+    CAST(year(o_orderdate) AS BIGINT) AS crawl_id
+  FROM orders
+),
+w AS (SELECT *, CAST(row_number() OVER (PARTITION BY crawl_id ORDER BY o_orderkey) - 1 AS BIGINT) AS seq FROM o),
+r AS (
+  SELECT *, 'https://shop.example.com/orders/' || o_orderkey AS url,
+    (prio = '2-HIGH' AND st = 'P') OR (prio = '1-URGENT' AND st = 'P') AS net,
+    CASE WHEN prio = '1-URGENT' AND st = 'P' THEN 'ECONNRESET' ELSE 'no captured response' END AS net_error,
+    CASE WHEN prio = '5-LOW' THEN 404 WHEN prio = '4-NOT SPECIFIED' THEN 503 ELSE 200 END AS http,
+    CASE WHEN st = 'P' THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS ctype,
+    'https://shop.example.com/customers/' || o_custkey AS fin
+  FROM w
+),
+d AS (
+  SELECT *, min(CASE WHEN NOT net THEN seq END) OVER (PARTITION BY crawl_id, CASE WHEN NOT net THEN fin END) AS win
+  FROM r
+),
+cls AS (
+  SELECT crawl_id, seq, url,
+    CASE WHEN net THEN url ELSE fin END AS final_url,
+    CASE WHEN net THEN 'error_network' WHEN seq <> win THEN 'skipped_filtered' WHEN http >= 400 THEN 'error_http'
+         WHEN NOT contains(lower(ctype), 'text/html') THEN 'skipped_filtered' ELSE 'fetched' END AS status,
+    CASE WHEN net THEN NULL ELSE http END AS http_status,
+    CASE WHEN net THEN net_error WHEN seq <> win THEN 'duplicate_final_url' WHEN http >= 400 THEN 'HTTP ' || http
+         WHEN NOT contains(lower(ctype), 'text/html') THEN 'non_html:' || ctype END AS error
+  FROM d
+)"""
+
+FINAL_URL_DEDUP = f"""
+WITH {_ORDER_WAVE}
+SELECT crawl_id, seq, url, final_url, status, CAST(http_status AS INTEGER) AS http_status, error FROM cls
+"""
+
+STATUS_SUMMARY = f"""
+WITH {_ORDER_WAVE}
+SELECT crawl_id, count(*) AS total, count(*) FILTER (WHERE status = 'fetched') AS fetched,
+  count(*) FILTER (WHERE status IN ('skipped_filtered', 'skipped_empty')) AS skipped,
+  count(*) FILTER (WHERE status IN ('error_http', 'error_network', 'error_parse')) AS failed
+FROM cls GROUP BY crawl_id
+"""
+
+ATTEMPT_RESOLUTION = """
+WITH a AS (
+  SELECT 'https://shop.example.com/orders/' || l_orderkey AS url,
+    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+         l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INTEGER) AS attempt,
+    CASE WHEN l_returnflag = 'A' THEN 'timeout' ELSE 'response' END AS outcome,
+    CASE WHEN l_returnflag = 'R' THEN 429 WHEN l_returnflag = 'N' THEN 200 END AS status,
+    CASE WHEN l_linestatus = 'O' THEN 'text/html; charset=utf-8' ELSE 'text/plain' END AS content_type,
+    'line ' || l_linenumber AS body
+  FROM lineitem
+),
+k AS (SELECT *, CASE WHEN outcome = 'timeout' THEN 'timeout' WHEN status = 429 THEN 'rate_limited'
+                     ELSE 'final' END AS kind FROM a),
+s AS (SELECT *, kind <> 'final' AND attempt = min(attempt) OVER (PARTITION BY url, kind) AS skipped FROM k),
+agg AS (SELECT url, min(CASE WHEN NOT skipped THEN attempt END) AS eff, max(attempt) AS last FROM s GROUP BY url)
+SELECT s.url, s.attempt, CAST(s.status AS INTEGER) AS status, s.content_type, s.body,
+  CASE WHEN s.outcome = 'timeout' THEN 'timeout' END AS error
+FROM s JOIN agg ON s.url = agg.url AND s.attempt = coalesce(agg.eff, agg.last)
+"""
+
 REGISTRY = {
     "normalize_urls": NORMALIZE_URLS,
     "derive_scopes": DERIVE_SCOPES,
@@ -252,4 +350,9 @@ REGISTRY = {
     "page_hash_words": PAGE_HASH_WORDS,
     "output_paths": OUTPUT_PATHS,
     "heading_anchors": HEADING_ANCHORS,
+    "crawl_reachability": CRAWL_REACHABILITY,
+    "sitemap_expand": SITEMAP_EXPAND,
+    "final_url_dedup": FINAL_URL_DEDUP,
+    "status_summary": STATUS_SUMMARY,
+    "attempt_resolution": ATTEMPT_RESOLUTION,
 }

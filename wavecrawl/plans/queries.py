@@ -16,6 +16,11 @@ from ..operators import extract as X
 from ..operators import filters as FL
 from ..operators import naming as N
 from ..operators.htmlpass import html_pass
+from ..operators.fetch_status import classify, narrow_meta
+from ..operators.sequence import dense_sequence
+from ..sources import synthetic as S
+from ..sources.crawls import CRAWLS_SCHEMA
+from ..sources.responses import prepare_responses, resolve_attempts
 from ..sources.tables import read_table
 
 # Job-wide glob lists of the ``filter_decisions`` query (fixed parameters).
@@ -120,6 +125,118 @@ def heading_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.col("crawl_id").alias("host"), "heading", "anchor")
 
 
+
+# --- crawls over the part site ------------------------------------------------
+
+NO_CAP = 2_147_483_647
+
+
+def _part_crawls(spark: SparkSession, max_pages: int, depth: int | None) -> DataFrame:
+    """Two crawls of the part site in one job: seed p1 (path scope), seed p2 (domain scope)."""
+    rows = [(1, S.SITE + "/guide/p1", False, depth, max_pages, False, [], [], None),
+            (2, S.SITE + "/guide/p2", True, depth, max_pages, False, [], [], None)]
+    return spark.createDataFrame(rows, CRAWLS_SCHEMA)
+
+
+def crawl_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crawl import crawl
+
+    out = crawl(_part_crawls(spark, NO_CAP, None), S.part_site(spark, sf_dir))
+    return out.page_results.select("crawl_id", "url", F.col("depth").cast("int").alias("depth"), "status",
+                                   "output_path")
+
+
+def crawl_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default page cap (500) and depth 3: FIFO order decides which pages are processed."""
+    from .crawl import crawl
+
+    out = crawl(_part_crawls(spark, 500, 3), S.part_site(spark, sf_dir))
+    return out.page_results.select("crawl_id", "seq", "url", "depth", "status", "output_path")
+
+
+def sitemap_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crawl import discover
+
+    w0 = discover(S.sitemap_crawls(spark, sf_dir), S.sitemap_site(spark, sf_dir))
+    return w0.select("crawl_id", "seq", "url", F.col("depth").cast("int").alias("depth"))
+
+
+# --- response handling over responses derived from orders / lineitem -----------
+
+SHOP = "https://shop.example.com"
+
+
+def order_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order URL redirects to its customer's page; priority/status decide the outcome."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
+                                                    "o_orderdate")
+    prio, st = F.col("o_orderpriority"), F.col("o_orderstatus")
+    return o.filter(~((prio == "2-HIGH") & (st == "P"))).select(
+        F.concat(F.lit(SHOP + "/orders/"), F.col("o_orderkey").cast("string")).alias("url"),
+        F.concat(F.lit(SHOP + "/customers/"), F.col("o_custkey").cast("string")).alias("final_url"),
+        F.when(prio == "5-LOW", F.lit(404)).when(prio == "4-NOT SPECIFIED", F.lit(503)).otherwise(F.lit(200)).alias(
+            "status"),
+        F.when(st == "P", F.lit("application/pdf")).otherwise(F.lit("text/html; charset=utf-8")).alias("content_type"),
+        F.lit("<html><body>order</body></html>").alias("body"),
+        F.when((prio == "1-URGENT") & (st == "P"), F.lit("ECONNRESET")).alias("error"),
+        F.col("o_orderdate").alias("fetched_at"),
+    )
+
+
+def _order_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One wave per order year: every order URL, FIFO by order key, classified."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    wave = o.select(
+        F.year("o_orderdate").cast("long").alias("crawl_id"), "o_orderkey",
+        F.concat(F.lit(SHOP + "/orders/"), F.col("o_orderkey").cast("string")).alias("url"),
+    )
+    wave = dense_sequence(wave, ["crawl_id"], ["o_orderkey"], F.floor(F.col("o_orderkey") / 65536), "seq")
+    meta = narrow_meta(prepare_responses(order_responses(spark, sf_dir)))
+    return classify(wave.select("crawl_id", "seq", "url"), meta)
+
+
+def final_url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_wave(spark, sf_dir).select("crawl_id", "seq", "url", "final_url", "status", "http_status", "error")
+
+
+def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = F.col("status")
+    return _order_wave(spark, sf_dir).groupBy("crawl_id").agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(st == "fetched").alias("fetched"),
+        F.count_if(st.isin("skipped_filtered", "skipped_empty")).alias("skipped"),
+        F.count_if(st.isin("error_http", "error_network", "error_parse")).alias("failed"),
+    )
+
+
+def order_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch log from lineitem: one attempt per line, numbered in a total order per order."""
+    li = read_table(spark, sf_dir, "lineitem")
+    order_cols = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                  "l_returnflag", "l_linestatus", "l_shipdate"]
+    li = dense_sequence(li, ["l_orderkey"], order_cols, F.col("l_linenumber"), "attempt0")
+    flag = F.col("l_returnflag")
+    outcome = F.when(flag == "A", F.lit("timeout")).otherwise(F.lit("response"))
+    status = F.when(flag == "R", F.lit(429)).when(flag == "N", F.lit(200))
+    return li.select(
+        F.concat(F.lit(SHOP + "/orders/"), F.col("l_orderkey").cast("string")).alias("url"),
+        (F.col("attempt0") + 1).cast("int").alias("attempt"),
+        outcome.alias("outcome"),
+        F.concat(F.lit(SHOP + "/orders/"), F.col("l_orderkey").cast("string")).alias("final_url"),
+        status.alias("status"),
+        F.when(F.col("l_linestatus") == "O", F.lit("text/html; charset=utf-8")).otherwise(F.lit("text/plain")).alias(
+            "content_type"),
+        F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("body"),
+        F.lit(None).cast("string").alias("error"),
+        F.col("l_shipdate").alias("fetched_at"),
+    )
+
+
+def attempt_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = resolve_attempts(order_attempts(spark, sf_dir))
+    return r.select("url", "attempt", "status", "content_type", "body", "error")
+
+
 REGISTRY = {
     "normalize_urls": normalize_urls,
     "derive_scopes": derive_scopes,
@@ -129,4 +246,10 @@ REGISTRY = {
     "page_hash_words": page_hash_words,
     "output_paths": output_paths,
     "heading_anchors": heading_anchors,
+    "crawl_reachability": crawl_reachability,
+    "crawl_capped": crawl_capped,
+    "sitemap_expand": sitemap_expand,
+    "final_url_dedup": final_url_dedup,
+    "status_summary": status_summary,
+    "attempt_resolution": attempt_resolution,
 }
