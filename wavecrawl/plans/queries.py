@@ -20,7 +20,8 @@ from ..operators.fetch_status import classify, narrow_meta
 from ..operators.sequence import dense_sequence
 from ..sources import synthetic as S
 from ..sources.crawls import CRAWLS_SCHEMA
-from ..sources.responses import prepare_responses, resolve_attempts
+from ..operators import render as R
+from ..sources.responses import prepare_responses, resolve_attempts, responses_from_pages
 from ..sources.tables import read_table
 
 # Job-wide glob lists of the ``filter_decisions`` query (fixed parameters).
@@ -237,6 +238,31 @@ def attempt_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("url", "attempt", "status", "content_type", "body", "error")
 
 
+
+# --- extraction and rendering over the captured pages -------------------------
+
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.extract_pages(prepare_responses(responses_from_pages(read_table(spark, sf_dir, "pages"))))
+
+
+def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).select("url", "final_url", "canonical_url", "title", "status", "word_count",
+                                            "content_hash", "error")
+
+
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.page_markdown(_extracted(spark, sf_dir)).select("url", "markdown")
+
+
+def single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged document lines, one document per host; pages in page_id order."""
+    ids = _pages(spark, sf_dir).groupBy(F.col("page_url").alias("url")).agg(F.min("page_id").alias("page_id"))
+    e = _extracted(spark, sf_dir).join(ids, "url").withColumn("crawl_id", U.url_host(F.col("final_url")))
+    e = dense_sequence(e, ["crawl_id"], ["page_id"], F.floor(F.col("page_id") / 65536), "seq")
+    scopes = e.groupBy("crawl_id").agg(F.min("final_url").alias("seed"))
+    return R.merged_lines(e, scopes).select("crawl_id", "part", "seq", "line", "text")
+
+
 REGISTRY = {
     "normalize_urls": normalize_urls,
     "derive_scopes": derive_scopes,
@@ -252,4 +278,7 @@ REGISTRY = {
     "final_url_dedup": final_url_dedup,
     "status_summary": status_summary,
     "attempt_resolution": attempt_resolution,
+    "extract_pages": extract_pages,
+    "page_markdown": page_markdown,
+    "single_file": single_file,
 }
