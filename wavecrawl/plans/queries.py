@@ -16,6 +16,7 @@ from ..operators import extract as X
 from ..operators import filters as FL
 from ..operators import naming as N
 from ..operators.htmlpass import html_pass
+from ..operators.parallel import ensure_parallelism
 from ..operators.fetch_status import classify, narrow_meta
 from ..operators.sequence import dense_sequence
 from ..sources import synthetic as S
@@ -89,7 +90,7 @@ def reject_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_hash_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = ensure_parallelism(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     content = U.js_trim(F.col("text"))
     wc = X.word_count(content)
     return d.select(
