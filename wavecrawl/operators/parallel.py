@@ -13,6 +13,8 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     input read as one split (one row group) is spread before HTML parsing or
     text regexes instead of running on a single core.
     """
+    if df.isStreaming:
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df

@@ -341,6 +341,15 @@ SELECT s.url, s.attempt, CAST(s.status AS INTEGER) AS status, s.content_type, s.
 FROM s JOIN agg ON s.url = agg.url AND s.attempt = coalesce(agg.eff, agg.last)
 """
 
+STREAM_ADMIT = f"""
+WITH {PAGE_LINKS}
+SELECT DISTINCT {url_host('page_url')} AS host, link_url AS url
+FROM links
+WHERE {url_host('link_url')} = {url_host('page_url')}
+  AND NOT regexp_matches({ensure_slash(f"lower({url_path('link_url')})")}, '{_SKIP_RE2}')
+  AND NOT regexp_matches(lower({url_path('link_url')}), '{_BINARY_RE2}')
+"""
+
 REGISTRY = {
     "normalize_urls": NORMALIZE_URLS,
     "derive_scopes": DERIVE_SCOPES,
@@ -355,4 +364,5 @@ REGISTRY = {
     "final_url_dedup": FINAL_URL_DEDUP,
     "status_summary": STATUS_SUMMARY,
     "attempt_resolution": ATTEMPT_RESOLUTION,
+    "stream_admit": STREAM_ADMIT,
 }

@@ -264,6 +264,33 @@ def single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merged_lines(e, scopes).select("crawl_id", "part", "seq", "line", "text")
 
 
+
+# --- streaming ------------------------------------------------------------------
+
+def stream_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a file stream: links admitted once per host crawl (domain scope)."""
+    from ..session import new_run_dir
+    from ..sources.crawls import derive_scopes
+    from ..streaming.admit import admit_stream, page_links_stream, run_to_table
+
+    static_pages = read_table(spark, sf_dir, "pages")
+    stream = (spark.readStream.schema(static_pages.schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{sf_dir.rstrip('/')}/pages.parquet*"))
+    hosts = _pages(spark, sf_dir).select(U.url_origin(F.col("page_url")).alias("origin")).distinct()
+    crawls = hosts.select(
+        F.xxhash64("origin").alias("crawl_id"), F.concat("origin", F.lit("/")).alias("seed_url"),
+        F.lit(True).alias("domain"), F.lit(None).cast("int").alias("depth"), F.lit(NO_CAP).alias("max_pages"),
+        F.lit(False).alias("sitemap"), F.array().cast("array<string>").alias("include"),
+        F.array().cast("array<string>").alias("exclude"), F.lit(None).cast("string").alias("lang"),
+    )
+    scopes, _ = derive_scopes(crawls)
+    links = page_links_stream(stream).withColumn("crawl_id", F.xxhash64(U.url_origin(F.col("page_url"))))
+    admitted = admit_stream(links, scopes, "href", "page_url")
+    run = new_run_dir(spark, "stream")
+    out = run_to_table(admitted.select("crawl_id", "normalized_url", "page_url"), f"{run}/admitted", f"{run}/_checkpoint")
+    return out.select(U.url_host(F.col("page_url")).alias("host"), F.col("normalized_url").alias("url"))
+
+
 REGISTRY = {
     "normalize_urls": normalize_urls,
     "derive_scopes": derive_scopes,
@@ -282,4 +309,5 @@ REGISTRY = {
     "extract_pages": extract_pages,
     "page_markdown": page_markdown,
     "single_file": single_file,
+    "stream_admit": stream_admit,
 }
