@@ -76,3 +76,11 @@ def test_scope_and_paths(spark):
         U.suffixed_path(F.lit("guide/install.md"), F.lit("https://docs.example.com/guide/install?lang=en")).alias("p")
     ).first()
     assert r.p == "guide/install--03d468.md"
+
+
+def test_trailing_slash_only(spark):
+    df = spark.createDataFrame([("https://docs.example.com/guide/intro/",), ("https://docs.example.com/",),
+                                ("https://docs.example.com/a/?b=2&a=1",)], "u string")
+    got = [r.o for r in U.trailing_slash_normalized(df, "u", "o").collect()]
+    assert got == ["https://docs.example.com/guide/intro", "https://docs.example.com/",
+                   "https://docs.example.com/a?b=2&a=1"]

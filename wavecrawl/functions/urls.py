@@ -382,3 +382,14 @@ def output_path(final_url: Column, base_url: Column) -> Column:
 def suffixed_path(path: Column, final_url: Column) -> Column:
     """``dir/name.md`` → ``dir/name--<6 hex of sha256(final_url)>.md``."""
     return F.concat(F.regexp_replace(path, r"\.md$", ""), F.lit("--"), short_hash(final_url), F.lit(".md"))
+
+
+def trailing_slash_normalized(df: DataFrame, src: str, out: str) -> DataFrame:
+    """Plain WHATWG href of ``src`` with one trailing ``/`` removed from a non-root path."""
+    tmp = f"__tsn_{next(_counter)}"
+    df = canonicalize(df, src, None, tmp, canonical=False)
+    parts = F.regexp_extract(F.col(tmp), r"^([^?#]*)(.*)$", 1)
+    rest = F.regexp_extract(F.col(tmp), r"^([^?#]*)(.*)$", 2)
+    origin_only = parts.rlike(r"^[a-z][a-z0-9+.\-]*://[^/]*/$")
+    stripped = F.when(origin_only, parts).otherwise(F.regexp_replace(parts, "/$", ""))
+    return df.withColumn(out, F.when(F.col(tmp).isNotNull(), F.concat(stripped, rest))).drop(tmp)
