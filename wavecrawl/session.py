@@ -78,13 +78,15 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``wavecrawl`` importable in Python workers (``addPyFile`` of a zip).
 
     Needed wherever a pandas UDF / ``mapInPandas`` references package code.
-    Done once per SparkContext.
+    Done once per SparkContext, and only for local masters: on a cluster the
+    package is shipped with the job (``spark-submit --py-files`` /
+    ``spark.submit.pyFiles``) or installed on the executors.
     """
     import zipfile
 
     sc = spark.sparkContext
     key = sc.applicationId
-    if key in _shipped:
+    if key in _shipped or not _is_local(spark):
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="wavecrawl-pkg-"), "wavecrawl.zip")
