@@ -45,12 +45,16 @@ def main() -> None:
     # Warm-up: JVM, Python workers, codegen caches (not timed).
     Q.normalize_urls(spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
+    waves = None
     for name in HEADLINE:
         if only and name not in only:
             continue
         t = time.perf_counter()
-        Q.REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        df = Q.REGISTRY[name](spark, sf_dir)
+        df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t, 3)
+        if name == "crawl_reachability":  # no sitemap seeds: wave k holds depth k
+            waves = df.agg({"depth": "max"}).first()[0] + 1
         print(f"# {name}: {times[name]}s", file=sys.stderr, flush=True)
     n_pages = read_table(spark, sf_dir, "pages").count()
     m = re.search(r"sf([0-9.]+)", sf_dir)
@@ -65,6 +69,9 @@ def main() -> None:
     }
     if "extract_pages" in times:
         out["extract_pages_per_sec"] = round(n_pages / times["extract_pages"], 1)
+    if waves:
+        out["crawl_waves"] = waves
+        out["crawl_sec_per_wave"] = round(times["crawl_reachability"] / waves, 3)
     if "link_extract" in times:
         out["link_extract_pages_per_sec"] = round(n_pages / times["link_extract"], 1)
     print(json.dumps(out))

@@ -27,7 +27,8 @@ def json_string(c: Column) -> Column:
 
 
 def iso_time(c: Column) -> Column:
-    return F.date_format(c, ISO_MILLIS)
+    """``yyyy-MM-ddTHH:mm:ss.SSSZ`` in UTC, whatever the session time zone."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), ISO_MILLIS)
 
 
 def page_markdown(results: DataFrame) -> DataFrame:
