@@ -33,6 +33,7 @@ HEADLINE = [
     "sitemap_expand",
     "crawl_reachability",
     "crawl_capped",
+    "pages_crawl",
 ]
 
 

@@ -350,6 +350,32 @@ WHERE {url_host('link_url')} = {url_host('page_url')}
   AND NOT regexp_matches(lower({url_path('link_url')}), '{_BINARY_RE2}')
 """
 
+PAGES_CRAWL = f"""
+WITH RECURSIVE {PAGE_LINKS},
+captured AS (SELECT DISTINCT canon AS url FROM pc),
+seeds AS (
+  SELECT {url_host('canon')} AS host, arg_min(canon, page_id) AS url FROM pc GROUP BY 1
+),
+edges AS (
+  SELECT DISTINCT page_url AS src, link_url AS dst FROM links
+  WHERE {url_host('link_url')} = {url_host('page_url')}
+    AND NOT regexp_matches({ensure_slash(f"lower({url_path('link_url')})")}, '{_SKIP_RE2}')
+    AND NOT regexp_matches(lower({url_path('link_url')}), '{_BINARY_RE2}')
+),
+reach(host, url, depth) USING KEY (host, url) AS (
+  SELECT host, url, 0 FROM seeds
+  UNION
+  SELECT r.host, e.dst, min(r.depth) + 1
+  FROM reach r JOIN captured c ON c.url = r.url JOIN edges e ON e.src = r.url
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.reach x WHERE x.host = r.host AND x.url = e.dst)
+  GROUP BY r.host, e.dst
+)
+SELECT r.host, r.url, CAST(r.depth AS INTEGER) AS depth,
+  CASE WHEN c.url IS NOT NULL THEN 200 END AS http_status,
+  CASE WHEN c.url IS NULL THEN 'no captured response' END AS error
+FROM reach r LEFT JOIN captured c ON c.url = r.url
+"""
+
 REGISTRY = {
     "normalize_urls": NORMALIZE_URLS,
     "derive_scopes": DERIVE_SCOPES,
@@ -365,4 +391,5 @@ REGISTRY = {
     "status_summary": STATUS_SUMMARY,
     "attempt_resolution": ATTEMPT_RESOLUTION,
     "stream_admit": STREAM_ADMIT,
+    "pages_crawl": PAGES_CRAWL,
 }

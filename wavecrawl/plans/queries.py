@@ -265,6 +265,24 @@ def single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+
+def pages_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One domain crawl per host of ``pages``, seeded at its first page, default page cap."""
+    from .crawl import crawl
+
+    seeds = _pages(spark, sf_dir).groupBy(U.url_host(F.col("page_url")).alias("host")).agg(
+        F.min_by("page_url", "page_id").alias("seed_url"))
+    crawls = seeds.select(
+        F.xxhash64("host").alias("crawl_id"), "seed_url", F.lit(True).alias("domain"),
+        F.lit(None).cast("int").alias("depth"), F.lit(500).alias("max_pages"), F.lit(False).alias("sitemap"),
+        F.array().cast("array<string>").alias("include"), F.array().cast("array<string>").alias("exclude"),
+        F.lit(None).cast("string").alias("lang"),
+    )
+    out = crawl(crawls, responses_from_pages(read_table(spark, sf_dir, "pages")))
+    return out.page_results.select(U.url_host(F.col("url")).alias("host"), "url", F.col("depth").cast("int"),
+                                   "http_status", "error")
+
+
 # --- streaming ------------------------------------------------------------------
 
 def stream_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,5 +327,6 @@ REGISTRY = {
     "extract_pages": extract_pages,
     "page_markdown": page_markdown,
     "single_file": single_file,
+    "pages_crawl": pages_crawl,
     "stream_admit": stream_admit,
 }
