@@ -71,3 +71,15 @@ def test_unclosed_markup_and_dropped_chrome():
     r = parse_page("https://e.com/x", html)
     assert r["content"] == "# T\n\n**Lead text.**\n\nBody & more\n\n- one\n- two"
     assert [link["href"] for link in r["links"]] == ["/n"]
+
+
+def test_extraction_error_keeps_links(monkeypatch):
+    from wavecrawl.operators import htmlpass as H
+
+    def boom(self, node, out, list_depth=0):
+        raise ValueError("bad tree")
+
+    monkeypatch.setattr(H._Renderer, "blocks", boom)
+    r = parse_page("https://e.com/x", '<html><body><a href="/a">a</a><p>text</p></body></html>')
+    assert r["parse_error"] == "ValueError: bad tree" and r["content"] is None
+    assert [link["href"] for link in r["links"]] == ["/a"]
