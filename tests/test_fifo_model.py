@@ -133,3 +133,25 @@ def test_waves_equal_fifo_queue(spark):
         seqs.setdefault(r.crawl_id, []).append(r.seq)
     for k, v in seqs.items():
         assert sorted(v) == list(range(len(v)))  # dense FIFO numbering
+
+
+def test_result_independent_of_partition_count(spark):
+    rng = random.Random(11)
+    host = "h.example.com"
+    site = make_site(rng, host)
+    rows = [(u, f, s, c, html_of(h, n, i)) for i, (u, (f, s, c, h, n)) in enumerate(sorted(site.items()))]
+    crawls = [crawl_row(1, f"https://{host}/guide/p0", max_pages=1000, sitemap=False)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    outs = []
+    try:
+        for n in ("3", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out = crawl(crawls_frame(spark, crawls), responses(spark, rows))
+            outs.append(sorted(tuple(r) for r in out.page_results.select("seq", "url", "depth", "status",
+                                                                         "output_path").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert outs[0] == outs[1]
+    expected = model(site, host, f"https://{host}/guide/p0", None, 1000)
+    assert [(seq, url, depth, status) for seq, url, depth, status, _ in outs[0]] == [
+        (i, url, depth, status) for i, (url, depth, status, _) in enumerate(expected)]
