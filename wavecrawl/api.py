@@ -12,7 +12,7 @@ from .operators.sinks import write_corpus
 from .plans.crawl import CrawlOutput, crawl, discover
 from .plans.summary import summarize
 from .sources.crawls import derive_scopes
-from .sources.responses import prepare_responses, resolve_attempts
+from .sources.responses import resolve_attempts
 from .streaming.admit import admit_stream
 from .operators.filters import filter_urls
 
@@ -23,19 +23,26 @@ def canonicalize_urls(df: DataFrame, url_col: str, base_col: str | None = None,
     return canonicalize(df, url_col, base_col, out)
 
 
+def _snapshot(responses: DataFrame, want_content: bool):
+    from .plans.snapshot import prepare_snapshot
+    from .session import new_run_dir
+
+    return prepare_snapshot(responses, new_run_dir(responses.sparkSession, "snapshot"), want_content)
+
+
 def extract_links(responses: DataFrame) -> DataFrame:
     """Captured responses → (url, final_url, pos, href, link_url), one row per distinct link per page."""
-    return _x.links_of(_x.parse_responses(prepare_responses(responses), want_content=False))
+    return _snapshot(responses, want_content=False).links
 
 
 def extract_page_urls(responses: DataFrame) -> DataFrame:
     """Captured responses → URL metadata rows (url, pos, kind, value, fixed_value)."""
-    return _x.page_urls_of(_x.parse_responses(prepare_responses(responses), want_content=False))
+    return _snapshot(responses, want_content=False).page_urls
 
 
 def extract_pages(responses: DataFrame, min_words: int = _x.MIN_WORDS) -> DataFrame:
     """Captured responses → page results without crawling (depth 0, no scope)."""
-    return _x.extract_pages(prepare_responses(responses), min_words)
+    return _x.extract_pages(_snapshot(responses, want_content=True), min_words)
 
 
 render_pages = page_markdown

@@ -22,7 +22,7 @@ from ..operators.sequence import dense_sequence
 from ..sources import synthetic as S
 from ..sources.crawls import CRAWLS_SCHEMA
 from ..operators import render as R
-from ..sources.responses import prepare_responses, resolve_attempts, responses_from_pages
+from ..sources.responses import resolve_attempts, responses_from_pages
 from ..sources.tables import read_table
 
 # Job-wide glob lists of the ``filter_decisions`` query (fixed parameters).
@@ -193,7 +193,9 @@ def _order_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(SHOP + "/orders/"), F.col("o_orderkey").cast("string")).alias("url"),
     )
     wave = dense_sequence(wave, ["crawl_id"], ["o_orderkey"], F.floor(F.col("o_orderkey") / 65536), "seq")
-    meta = narrow_meta(prepare_responses(order_responses(spark, sf_dir)))
+    from .snapshot import keyed_responses, winners
+
+    meta = narrow_meta(winners(keyed_responses(order_responses(spark, sf_dir))))
     return classify(wave.select("crawl_id", "seq", "url"), meta)
 
 
@@ -243,7 +245,11 @@ def attempt_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- extraction and rendering over the captured pages -------------------------
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.extract_pages(prepare_responses(responses_from_pages(read_table(spark, sf_dir, "pages"))))
+    from ..session import new_run_dir
+    from .snapshot import prepare_snapshot
+
+    snap = prepare_snapshot(responses_from_pages(read_table(spark, sf_dir, "pages")), new_run_dir(spark, "extract"))
+    return X.extract_pages(snap)
 
 
 def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
