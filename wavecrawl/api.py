@@ -23,11 +23,11 @@ def canonicalize_urls(df: DataFrame, url_col: str, base_col: str | None = None,
     return canonicalize(df, url_col, base_col, out)
 
 
-def _snapshot(responses: DataFrame, want_content: bool):
+def _snapshot(responses: DataFrame, want_content: bool, want_links: bool = True):
     from .plans.snapshot import prepare_snapshot
     from .session import new_run_dir
 
-    return prepare_snapshot(responses, new_run_dir(responses.sparkSession, "snapshot"), want_content)
+    return prepare_snapshot(responses, new_run_dir(responses.sparkSession, "snapshot"), want_content, want_links)
 
 
 def extract_links(responses: DataFrame) -> DataFrame:
@@ -37,12 +37,12 @@ def extract_links(responses: DataFrame) -> DataFrame:
 
 def extract_page_urls(responses: DataFrame) -> DataFrame:
     """Captured responses → URL metadata rows (url, pos, kind, value, fixed_value)."""
-    return _snapshot(responses, want_content=False).page_urls
+    return _snapshot(responses, want_content=False, want_links=False).page_urls
 
 
 def extract_pages(responses: DataFrame, min_words: int = _x.MIN_WORDS) -> DataFrame:
     """Captured responses → page results without crawling (depth 0, no scope)."""
-    return _x.extract_pages(_snapshot(responses, want_content=True), min_words)
+    return _x.extract_pages(_snapshot(responses, want_content=True, want_links=False), min_words)
 
 
 render_pages = page_markdown

@@ -248,7 +248,8 @@ def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..session import new_run_dir
     from .snapshot import prepare_snapshot
 
-    snap = prepare_snapshot(responses_from_pages(read_table(spark, sf_dir, "pages")), new_run_dir(spark, "extract"))
+    snap = prepare_snapshot(responses_from_pages(read_table(spark, sf_dir, "pages")), new_run_dir(spark, "extract"),
+                            want_links=False)
     return X.extract_pages(snap)
 
 
