@@ -16,7 +16,6 @@ from ..operators import extract as X
 from ..operators import filters as FL
 from ..operators import naming as N
 from ..operators.htmlpass import html_pass
-from ..operators.parallel import ensure_parallelism
 from ..operators.fetch_status import classify, narrow_meta
 from ..operators.sequence import dense_sequence
 from ..sources import synthetic as S
