@@ -61,7 +61,7 @@ def test_links_canonical_and_status(spark):
     assert page.canonical_url == "https://docs.example.com/guide/canon"
     assert (got["https://docs.example.com/e"].status, got["https://docs.example.com/e"].error) == (
         "error_http", "HTTP 404")
-    assert got["https://docs.example.com/f"].error == "non_html:application/pdf"
+    assert got["https://docs.example.com/f"].error == "Expected HTML content, received: application/pdf"
 
 
 def test_unclosed_markup_and_dropped_chrome():
