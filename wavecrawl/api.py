@@ -32,7 +32,7 @@ def _snapshot(responses: DataFrame, want_content: bool, want_links: bool = True)
 
 def extract_links(responses: DataFrame) -> DataFrame:
     """Captured responses → (url, final_url, pos, href, link_url), one row per distinct link per page."""
-    return _snapshot(responses, want_content=False).links
+    return _snapshot(responses, want_content=False, want_links=False).links
 
 
 def extract_page_urls(responses: DataFrame) -> DataFrame:
