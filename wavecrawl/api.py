@@ -9,7 +9,7 @@ from .operators import extract as _x
 from .operators.naming import assign_output_paths, heading_anchors
 from .operators.render import merged_lines, page_markdown
 from .operators.sinks import write_corpus
-from .plans.crawl import CrawlOutput, crawl, discover
+from .plans.crawl import CrawlOutput, crawl, discover, queued_counts
 from .plans.summary import summarize
 from .sources.crawls import derive_scopes
 from .sources.responses import resolve_attempts
@@ -50,6 +50,6 @@ render_merged = merged_lines
 
 __all__ = [
     "CrawlOutput", "admit_stream", "assign_output_paths", "canonicalize_urls", "crawl", "derive_scopes", "discover",
-    "extract_links", "extract_page_urls", "extract_pages", "filter_urls", "heading_anchors", "render_merged",
-    "render_pages", "resolve_attempts", "summarize", "write_corpus",
+    "extract_links", "extract_page_urls", "extract_pages", "filter_urls", "heading_anchors", "queued_counts",
+    "render_merged", "render_pages", "resolve_attempts", "summarize", "write_corpus",
 ]
