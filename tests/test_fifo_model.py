@@ -155,3 +155,40 @@ def test_result_independent_of_partition_count(spark):
     expected = model(site, host, f"https://{host}/guide/p0", None, 1000)
     assert [(seq, url, depth, status) for seq, url, depth, status, _ in outs[0]] == [
         (i, url, depth, status) for i, (url, depth, status, _) in enumerate(expected)]
+
+
+def test_crawl_capped_query_matches_brute_force(spark, sf_dir):
+    """The registered crawl_capped query (part site, depth 3, cap 500) vs a FIFO model on pandas."""
+    import pandas as pd
+
+    from wavecrawl.plans import queries as Q
+
+    li = pd.read_parquet(f"{sf_dir}/lineitem.parquet", columns=["l_orderkey", "l_linenumber", "l_partkey"])
+    nxt = li.assign(l_linenumber=li.l_linenumber - 1)
+    edges = li.merge(nxt, on=["l_orderkey", "l_linenumber"], suffixes=("", "_dst"))
+    out_links = edges.groupby("l_partkey")["l_partkey_dst"].apply(lambda s: sorted(set(s))).to_dict()
+    parts = set(pd.read_parquet(f"{sf_dir}/part.parquet", columns=["p_partkey"]).p_partkey)
+    base = "https://docs.example.com/guide/p"
+
+    def fifo(seed, depth_limit, max_pages):
+        queue, queued, visited, out = deque([(seed, 0)]), {seed}, set(), []
+        while queue and len(out) < max_pages:
+            k, d = queue.popleft()
+            queued.discard(k)
+            visited.add(k)
+            if k not in parts:
+                out.append((base + str(k), d, "error_network"))
+                continue
+            if d + 1 <= depth_limit:
+                for t in out_links.get(k, []):
+                    if t not in visited and t not in queued:
+                        queue.append((t, d + 1))
+                        queued.add(t)
+            out.append((base + str(k), d, "success"))
+        return out
+
+    got = {}
+    for r in Q.crawl_capped(spark, sf_dir).orderBy("crawl_id", "seq").collect():
+        got.setdefault(r.crawl_id, []).append((r.url, r.depth, r.status))
+    assert got[1] == fifo(1, 3, 500)
+    assert got[2] == fifo(2, 3, 500)
