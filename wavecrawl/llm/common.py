@@ -49,3 +49,13 @@ def per_text(text: Column, fn: Callable[[str], tuple], schema: str, init: Callab
             yield pd.DataFrame(rows, columns=names)
 
     return run(text)
+
+
+def hashed_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
+    """At most ``rows`` rows of ``df``: those of the ``rows`` keys that come first by hash.
+
+    The keys are picked on the key column alone; of a repeated key one row stays. The picked
+    keys are ``rows`` longs at most, so the join broadcasts them.
+    """
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(rows)
+    return df.join(F.broadcast(keys), key, "left_semi").dropDuplicates([key])

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import html_text, langid, quality, secrets, token_counts
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
+    "op2_html_extraction": html_text.query,
+    "op3_quality": quality.query,
+    "op5_language_id": langid.query,
+    "op9_token_counts": token_counts.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_html_extraction": html_text.ORACLE,
+}
