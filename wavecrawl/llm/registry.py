@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import html_text, langid, quality, secrets, token_counts
+from . import html_text, langid, quality, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
     "op2_html_extraction": html_text.query,
     "op3_quality": quality.query,
     "op5_language_id": langid.query,
+    "op6_toxicity": toxicity.query,
     "op9_token_counts": token_counts.query,
 }
 
