@@ -1,6 +1,5 @@
 """Toxicity: decoding of disguises, held-out ranking, odd rows."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from wavecrawl.llm import toxicity as X
@@ -9,14 +8,9 @@ from test_quality import auc
 
 
 def small_model():
-    texts = ["what a total idiot here", "you moron and idiot", "an idiot moron loser", "moron loser idiot", "such a loser moron idiot loser"] * 8
-    fine = ["the tall tree stands in total silence", "letters and words of a fine day", "into the middle of it all"] * 20
-    y = np.array([1] * len(texts) + [0] * len(fine))
-    words = {}
-    for t in texts + fine:
-        for w in t.split():
-            words[w] = words.get(w, 0) + 1
-    return X.train(texts + fine, y, X._trigrams(words))
+    bad, fine = ("idiot", "moron", "loser"), "the tall tree stands in total silence letters and words of a fine day into the middle".split()
+    weights = X.markers({w: (20, 0) for w in bad} | {w: (30, 300) for w in fine}, 40.0, 400.0)
+    return X.Model(X.character_model(X._trigrams({w: 20 for w in (*bad, *fine)}), weights), weights, 1.0, -3.0)
 
 
 def test_restores_disguises():

@@ -18,7 +18,6 @@ markers, and every score is 0. Map only, apart from the counts.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, hashed_sample, table
+from .common import fold_of, hashed_sample, staged, table
 
 MAX_TRAIN_DOCS = 20_000
 PREDICT_AT = 0.3
@@ -173,57 +172,62 @@ def lattice(word: str) -> list[list[str]]:
     return steps
 
 
-def _words(text: str) -> set[str]:
-    return set(_PLAIN.findall(text.lower()))
-
-
-def _fit(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and base of a logistic curve, by damped Newton steps."""
+def _fit(margin: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Scale and base of a logistic curve, by damped Newton steps; row i counts ``n[i]`` times."""
     x = np.stack([margin, np.ones(len(y))], axis=1)
     theta = np.array([1.0, -2.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        g = x.T @ (p - y) + 0.05 * theta
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
+        g = x.T @ (n * (p - y)) + 0.05 * theta
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
         theta -= np.clip(np.linalg.solve(h, g), -1, 1)
     return max(float(theta[0]), 0.0), float(theta[1])
 
 
-def train(texts: list[str], y: np.ndarray, corpus: np.ndarray) -> Model:
-    """Marker words with smoothed log ratios, character model, logistic curve."""
-    toxic, fine = Counter(), Counter()
-    bags = [_words(t) for t in texts]
-    for words, label in zip(bags, y):
-        (toxic if label else fine).update(words)
-    n1, n0 = max(float(y.sum()), 1.0), max(float(len(y) - y.sum()), 1.0)
+def markers(counts: dict[str, tuple[int, int]], n1: float, n0: float) -> dict[str, float]:
+    """Smoothed log ratios of the words that mark toxic texts; ``counts``: toxic and other documents of a word."""
     weights = {}
-    for w in sorted(toxic):
-        ratio = ((toxic[w] + 0.5) / (n1 + 1)) / ((fine[w] + 0.5) / (n0 + 1))
+    for w, (k1, k0) in sorted(counts.items()):
+        ratio = ((k1 + 0.5) / (n1 + 1)) / ((k0 + 0.5) / (n0 + 1))
         # a word must also beat what chance allows for the many words tried
-        if len(w) >= 3 and toxic[w] >= MIN_DOCS and ratio >= MIN_RATIO and toxic[w] / n1 - fine[w] / n0 > 6 * np.sqrt((toxic[w] + fine[w]) / (n1 + n0) / n1):
+        if len(w) >= 3 and k1 >= MIN_DOCS and ratio >= MIN_RATIO and k1 / n1 - k0 / n0 > 6 * np.sqrt((k1 + k0) / (n1 + n0) / n1):
             weights[w] = float(np.log(ratio))
+    return weights
+
+
+def character_model(corpus: np.ndarray, words) -> np.ndarray:
+    """Log probability of a letter after two, of the corpus' trigrams mixed with those of ``words``."""
     counts = corpus / max(corpus.sum(), 1.0) * (1 - MARKER_SHARE)
-    marks = _trigrams({w: 1 for w in weights})
+    marks = _trigrams({w: 1 for w in words})
     counts = (counts + marks / max(marks.sum(), 1.0) * MARKER_SHARE).reshape(_BASE, _BASE, _BASE) + 1e-9
-    log_p = np.log(counts / counts.sum(axis=2, keepdims=True))
-    margin = np.array([sum(weights[w] for w in sorted(words & weights.keys())) for words in bags], float)
-    if not len(y) or not y.any():
-        return Model(log_p, {}, 0.0, -30.0)
-    scale, base = _fit(margin, y.astype(float))
-    return Model(log_p, weights, scale, base)
+    return np.log(counts / counts.sum(axis=2, keepdims=True))
 
 
 def learn(docs: DataFrame, corpus: DataFrame, labels: DataFrame, allowed: Column, text_col: str = "text") -> Model:
     """Model from the labelled rows of ``docs`` that ``allowed`` admits, and every text of ``corpus``.
 
-    Null labels don't count; of a document with several labels, the largest counts.
+    Words are counted by Spark; the driver gets those of ``MIN_DOCS`` toxic documents, and one
+    margin per label and value. Null labels don't count; of a document with several labels,
+    the largest counts.
     """
     marked = labels.where(F.col("toxic").isNotNull() & allowed).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = hashed_sample(marked, MAX_TRAIN_DOCS)
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit("\\p{L}+"), F.lit(0))))
-    rows = docs.select("doc_id", text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", F.array_join(words, " ").alias("words"))
-    rows = rows.toPandas().sort_values(["doc_id", "words"], kind="stable")
-    return train(rows["words"].tolist(), rows["toxic"].to_numpy(int), corpus_trigrams(corpus, text_col))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit("\\p{L}+"), F.lit(0)))
+    rows = docs.select("doc_id", text_col).join(F.broadcast(sample), "doc_id").select("toxic", words.alias("words"))
+    rows = staged(rows, "toxic-words")
+    size = rows.agg(F.sum("toxic"), F.count("*")).first()
+    n1, n = float(size[0] or 0), float(size[1])
+    log_p = lambda w: character_model(corpus_trigrams(corpus, text_col), w)
+    if not n1:
+        return Model(log_p([]), {}, 0.0, -30.0)
+    counted = rows.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum("toxic").alias("k1"), F.sum(1 - F.col("toxic")).alias("k0"))
+    counted = counted.where((F.col("k1") >= MIN_DOCS) & (F.length("w") >= 3)).collect()
+    weights = markers({r["w"]: (r["k1"], r["k0"]) for r in counted}, max(n1, 1.0), max(n - n1, 1.0))
+    held = F.array_sort(F.array_intersect("words", F.array(*map(F.lit, sorted(weights))).cast("array<string>")))
+    held = rows.select("toxic", held.alias("w")).groupBy("toxic", "w").agg(F.count("*").alias("n")).collect()
+    margin = np.array([sum(weights[w] for w in r["w"]) for r in held])
+    scale, base = _fit(margin, np.array([r["toxic"] for r in held], float), np.array([r["n"] for r in held], float))
+    return Model(log_p(weights), weights, scale, base)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
