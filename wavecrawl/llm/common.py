@@ -59,3 +59,20 @@ def hashed_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     """
     keys = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(rows)
     return df.join(F.broadcast(keys), key, "left_semi").dropDuplicates([key])
+
+
+BROADCAST_BYTES = 32 << 20  # proven size up to which a side is broadcast
+
+
+def small_or_plain(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows of at most ``row_bytes`` fit ``BROADCAST_BYTES``, else as it is.
+
+    ``df`` should be staged: it is counted here.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df.hint("shuffle_merge")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``ids`` (one column, doc_id); rows with a null id stay."""
+    gone = staged(ids.where(F.col("doc_id").isNotNull()).distinct(), kind)
+    return docs.join(small_or_plain(gone, 16), "doc_id", "left_anti").select(*docs.columns)
