@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, langid, quality, secrets, token_counts, toxicity
+from . import decontaminate, html_text, jaccard_join, langid, quality, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.query,
     "op5_language_id": langid.query,
     "op6_toxicity": toxicity.query,
+    "op7_jaccard_join": jaccard_join.query,
     "op9_token_counts": token_counts.query,
     "op10_decontamination": decontaminate.query,
 }
