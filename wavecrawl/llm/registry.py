@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, jaccard_join, langid, quality, secrets, token_counts, toxicity
+from . import decontaminate, html_text, jaccard_join, langid, packing, quality, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language_id": langid.query,
     "op6_toxicity": toxicity.query,
     "op7_jaccard_join": jaccard_join.query,
+    "op8_packing": packing.query,
     "op9_token_counts": token_counts.query,
     "op10_decontamination": decontaminate.query,
 }
