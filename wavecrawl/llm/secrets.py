@@ -259,3 +259,11 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     names = [f"n_{k}" for k in BASE_KINDS] + ["base_sha256", "spans"] + [f"n_{k}" for k in KINDS[3:]]
     return scan_secrets(docs).select("doc_id", *(F.col(f"secrets.{n}").alias(n) for n in names))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its secrets replaced; ``n_chars`` follows the new text."""
+    clean = redact_secrets(docs)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return clean.select(*docs.columns)
