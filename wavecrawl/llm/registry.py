@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, jaccard_join, langid, packing, quality, secrets, token_counts, toxicity
+from . import decontaminate, fingerprints, html_text, jaccard_join, langid, packing, quality, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
     "op2_html_extraction": html_text.query,
     "op3_quality": quality.query,
+    "op4_fingerprints": fingerprints.query,
     "op5_language_id": langid.query,
     "op6_toxicity": toxicity.query,
     "op7_jaccard_join": jaccard_join.query,
