@@ -24,7 +24,6 @@ link nothing. Extra columns are ignored. Shingles are told apart by 64-bit hashe
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,20 +38,17 @@ GROUPS = 64
 TILE = 1000
 LEAF = 32  # points in a leaf of the R-tree
 HEAVY_SHARE = 1000  # keys with more than 1 / HEAVY_SHARE of all rows: at most so many, broadcast
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes (as int64) of the text's shingles."""
-    words = _WORDS.findall((text or "").translate(_UPPER) if text else "")
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and \x20 \x09-\x0D
     if not words:
         return np.zeros(0, np.int64)
     if len(words) < 5:
-        return np.array([xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), 1)], np.uint64).view(np.int64)
-    known = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in set(words)}
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), 1)], np.uint64).view(np.int64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(h) - 4
     out = np.zeros(n, np.uint64)
     for j in range(5):
