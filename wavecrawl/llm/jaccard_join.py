@@ -8,7 +8,8 @@ links with nothing). Two sets link when 100 * intersection >= 75 * union.
 2. Sets that link share one of their first ``n - ceil(0.75 n) + 1`` shingles in hash order.
    Each class is put into the block of the smallest class that has such a shingle of its own;
    so two that link meet in the block of the smallest holder of their shared shingle.
-3. Every member is held against its block's smallest class; links give first components.
+3. Every member is held against its block's smallest class, if their count vectors (see 4) let
+   the pair link; links give first components.
 4. In blocks that still hold several components, an R-tree over count vectors (shingles hashed
    into ``GROUPS`` groups, counts capped into bytes from above) finds the other pairs: the
    overlap with a point or a box is at most the sum of coordinate minima, and a pair can only
@@ -150,6 +151,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, kind: str) -> DataFrame:
     return staged(both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("n")).where("7 * c >= 3 * n").select("a", "b").distinct(), kind)
 
 
+def _bounded(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and count vectors allow a link, so that whole sets travel for few."""
+
+    @F.pandas_udf("boolean")
+    def may_link(va: pd.Series, na: pd.Series, vb: pd.Series, nb: pd.Series) -> pd.Series:
+        a, b = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), GROUPS) for v in (va, vb))
+        low = np.minimum(a, b)
+        return pd.Series(((low == 255).any(axis=1) | (low.sum(axis=1, dtype=np.int64) * 7 >= 3 * (na + nb).to_numpy())))
+
+    sides = [reps.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("vector").alias("v" + x)) for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").where("4 * na >= 3 * nb AND 4 * nb >= 3 * na")
+    return both.where(may_link("va", "na", "vb", "nb")).select("a", "b")
+
+
 def _tile_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     """Candidate pairs of one tile: rows of side 0 against rows of side 1 (or all against all on the diagonal)."""
     diagonal = bool((frame["i"] == frame["j"]).iloc[0])
@@ -179,7 +194,8 @@ def join(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keys = reps.select("id", F.explode("prefix").alias("key"))
     least = staged(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo"), "join-keys")
     blocks = staged(keys.join(least, "key").select("lo", "id").distinct(), "join-blocks")
-    edges = _verified(blocks.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")), docs, "join-first")
+    spokes = blocks.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    edges = _verified(_bounded(spokes, reps), docs, "join-first")
     first = components(edges, "join-labels")
     members = blocks.join(first, "id", "left").select("lo", "id", F.coalesce("label", "id").alias("label"))
     members = staged(members, "join-members")
