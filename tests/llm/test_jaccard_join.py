@@ -63,3 +63,12 @@ def test_rows(spark):
     got = sorted(map(tuple, J.join(d).collect()), key=str)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, None), (3, 2, 1), (4, 1, 4)], key=str)
     assert J.join(d.limit(0)).count() == 0
+
+
+def test_fine_bound_covers_the_overlap():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        a = np.unique(r.integers(-(1 << 63), 1 << 63, r.integers(1, 3000), dtype=np.int64))
+        b = np.unique(np.concatenate([r.choice(a, r.integers(0, len(a) + 1)), r.integers(-(1 << 63), 1 << 63, r.integers(1, 500), dtype=np.int64)]))
+        va, vb = (J.count_vector(x, J.fine_groups(len(x))).tobytes() for x in (a, b))
+        assert len(np.intersect1d(a, b)) <= J.fine_bound(va, vb)

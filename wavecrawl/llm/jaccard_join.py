@@ -8,15 +8,15 @@ links with nothing). Two sets link when 100 * intersection >= 75 * union.
 2. Sets that link share one of their first ``n - ceil(0.75 n) + 1`` shingles in hash order.
    Each class is put into the block of the smallest class that has such a shingle of its own;
    so two that link meet in the block of the smallest holder of their shared shingle.
-3. Every member is held against its block's smallest class, if their count vectors (see 4) let
-   the pair link; links give first components.
+3. Every member is held against its block's smallest class, as in 5; links give first components.
 4. In blocks that still hold several components, an R-tree over count vectors (shingles hashed
    into ``GROUPS`` groups, counts capped into bytes from above) finds the other pairs: the
    overlap with a point or a box is at most the sum of coordinate minima, and a pair can only
    link if this reaches 3/7 of the summed sizes. Pairs inside a component are left out: they
    cannot change it. Blocks are cut into tiles of ``TILE`` by ``TILE`` classes, so no task holds
    a whole large block.
-5. Surviving pairs are verified on whole sets. Components come from smallest-label spreading.
+5. Surviving pairs must pass the same bound on finer vectors, of one group for at most ``FINE``
+   shingles on average, and are then verified on whole sets. Components come from smallest-label spreading.
 
 Null and empty texts get n_shingles 0 and their own id. Rows that repeat a doc_id are one
 document each, with the same id. Rows with a null doc_id come back with a null component and
@@ -37,6 +37,7 @@ from .common import small_or_plain, staged, table, without_ids
 
 GROUPS = 64
 TILE = 1000
+FINE = 4  # shingles in a group of the finer vectors, at most, on average
 LEAF = 32  # points in a leaf of the R-tree
 HEAVY_SHARE = 1000  # keys with more than 1 / HEAVY_SHARE of all rows: at most so many, broadcast
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -62,9 +63,24 @@ def prefix_size(n: int) -> int:
     return n - -(-3 * n // 4) + 1 if n else 0
 
 
-def count_vector(hashes: np.ndarray) -> np.ndarray:
-    """Shingles in each group; 255 stands for 255 or more."""
-    return np.minimum(np.bincount((hashes.view(np.uint64) >> np.uint64(58)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
+def count_vector(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Shingles in each group (a power of two of them, by the hash's first bits); 255 stands for 255 or more."""
+    shift = np.uint64(65 - groups.bit_length())
+    return np.minimum(np.bincount((hashes.view(np.uint64) >> shift).astype(np.int64), minlength=groups), 255).astype(np.uint8)
+
+
+def fine_groups(n: int) -> int:
+    """Groups of the finer vector of a set of ``n``: the least power of two of ``n / FINE`` or more."""
+    return max(GROUPS, 1 << max(0, -(-n // FINE) - 1).bit_length())
+
+
+def fine_bound(a: bytes, b: bytes) -> int:
+    """Largest overlap of two sets by their finer vectors; the longer one is folded to the other's groups."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    capped = max(x.max(), y.max()) == 255
+    groups = min(len(x), len(y))
+    x, y = (v.reshape(groups, -1).sum(axis=1, dtype=np.int64) for v in (x, y))
+    return np.iinfo(np.int32).max if capped else int(np.minimum(x, y).sum())
 
 
 def _bound(points: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -104,8 +120,8 @@ def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc_id, text in zip(frame["doc_id"], frame["text"]):
             s = shingle_set(text)
-            rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), s[: prefix_size(len(s))], count_vector(s).tobytes()))
-        yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "prefix", "vector"])
+            rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), s[: prefix_size(len(s))], count_vector(s).tobytes(), count_vector(s, fine_groups(len(s))).tobytes()))
+        yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "prefix", "vector", "fine"])
 
 
 def attach_least(rows: DataFrame, key: str, value: str, out: str, kind: str) -> DataFrame:
@@ -152,17 +168,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, kind: str) -> DataFrame:
 
 
 def _bounded(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and count vectors allow a link, so that whole sets travel for few."""
+    """The pairs (a, b) whose sizes and finer vectors allow a link, so that whole sets travel for few."""
 
     @F.pandas_udf("boolean")
-    def may_link(va: pd.Series, na: pd.Series, vb: pd.Series, nb: pd.Series) -> pd.Series:
-        a, b = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), GROUPS) for v in (va, vb))
-        low = np.minimum(a, b)
-        return pd.Series(((low == 255).any(axis=1) | (low.sum(axis=1, dtype=np.int64) * 7 >= 3 * (na + nb).to_numpy())))
+    def may_link(va: pd.Series, vb: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([7 * fine_bound(x, y) >= 3 * k for x, y, k in zip(va, vb, n)], dtype=bool)
 
-    sides = [reps.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("vector").alias("v" + x)) for x in "ab"]
+    sides = [reps.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("fine").alias("v" + x)) for x in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").where("4 * na >= 3 * nb AND 4 * nb >= 3 * na")
-    return both.where(may_link("va", "na", "vb", "nb")).select("a", "b")
+    return both.where(may_link("va", "vb", F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
 
 def _tile_pairs(frame: pd.DataFrame) -> pd.DataFrame:
@@ -175,7 +189,7 @@ def _tile_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     ia, ib, la, lb = left["id"].to_numpy(), right["id"].to_numpy(), left["label"].to_numpy(), right["label"].to_numpy()
     out = []
     for x, y in rtree_pairs(parts[0], na, parts[1], nb):
-        keep = (la[x] != lb[y]) & ((ia[x] < ib[y]) if diagonal else True)
+        keep = (la[x] != lb[y]) & ((ia[x] < ib[y]) if diagonal else True)  # labels differ, so ids do
         out.append(np.stack([np.minimum(ia[x], ib[y])[keep], np.maximum(ia[x], ib[y])[keep]], axis=1))
     got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
     return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
@@ -184,15 +198,17 @@ def _tile_pairs(frame: pd.DataFrame) -> pd.DataFrame:
 def join(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n long, digest binary, prefix array<long>, vector binary"
+    schema = "doc_id long, n long, digest binary, prefix array<long>, vector binary, fine binary"
     known = staged(docs.where(F.col("doc_id").isNotNull()).mapInPandas(_describe, schema), "join-sets")
     narrow = known.where("n > 0").select("doc_id", "n", "digest")
     classes = staged(attach_least(narrow, "digest", "doc_id", "rep", "join-classes").select("doc_id", "rep"), "join-classes")
-    own = classes.where("doc_id = rep").select("doc_id").distinct()
-    reps = known.where("n > 0").join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "prefix", "vector")
-    reps = staged(reps.dropDuplicates(["id"]), "join-reps")
-    keys = reps.select("id", F.explode("prefix").alias("key"))
+    own = small_or_plain(staged(classes.where("doc_id = rep").select("doc_id").distinct(), "join-own"), 16)
+    chosen = known.where("n > 0").join(own, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
+    # an id of several texts has a row for each: a pair stays if any of them let it
+    reps = staged(chosen.select("id", "n", "vector", "fine").distinct(), "join-reps")
+    keys = chosen.select("id", F.explode("prefix").alias("key"))
     least = staged(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo"), "join-keys")
+    least = small_or_plain(least, 32)  # keys of one text are gone: few are left
     blocks = staged(keys.join(least, "key").select("lo", "id").distinct(), "join-blocks")
     spokes = blocks.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
     edges = _verified(_bounded(spokes, reps), docs, "join-first")
@@ -206,7 +222,7 @@ def join(docs: DataFrame, text_col: str = "text") -> DataFrame:
     cut = cut.select("lo", "id", "label", "n", "vector", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), (F.col("t") > F.col("u")).cast("int").alias("side"))
     pairs = cut.groupBy("lo", "i", "j").applyInPandas(_tile_pairs, "a long, b long").distinct()
     pairs = pairs.join(edges, ["a", "b"], "left_anti")
-    more = _verified(pairs, docs, "join-second")
+    more = _verified(_bounded(pairs, reps), docs, "join-second")
     final = components(edges.union(more), "join-labels")
     mapped = classes.join(final.select(F.col("id").alias("rep"), "label"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("c")).distinct()
     whole = known.select("doc_id", "n").join(mapped, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
