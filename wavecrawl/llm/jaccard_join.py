@@ -16,7 +16,7 @@ links with nothing). Two sets link when 100 * intersection >= 75 * union.
    cannot change it. Blocks are cut into tiles of ``TILE`` by ``TILE`` classes, so no task holds
    a whole large block.
 5. Surviving pairs must pass the same bound on finer vectors, of one group for at most ``FINE``
-   shingles on average, and are then verified on whole sets. Components come from smallest-label spreading.
+   shingles on average (the tree's are folded from them), and are then verified on whole sets. Components come from smallest-label spreading.
 
 Null and empty texts get n_shingles 0 and their own id. Rows that repeat a doc_id are one
 document each, with the same id. Rows with a null doc_id come back with a null component and
@@ -74,6 +74,11 @@ def fine_groups(n: int) -> int:
     return max(GROUPS, 1 << max(0, -(-n // FINE) - 1).bit_length())
 
 
+def folded(fine: bytes) -> np.ndarray:
+    """The vector of ``GROUPS`` groups, of a finer one."""
+    return np.minimum(np.frombuffer(fine, np.uint8).reshape(GROUPS, -1).sum(axis=1, dtype=np.int64), 255).astype(np.uint8)
+
+
 def fine_bound(a: bytes, b: bytes) -> int:
     """Largest overlap of two sets by their finer vectors; the longer one is folded to the other's groups."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -120,8 +125,8 @@ def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc_id, text in zip(frame["doc_id"], frame["text"]):
             s = shingle_set(text)
-            rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), s[: prefix_size(len(s))], count_vector(s).tobytes(), count_vector(s, fine_groups(len(s))).tobytes()))
-        yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "prefix", "vector", "fine"])
+            rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), s[: prefix_size(len(s))], count_vector(s, fine_groups(len(s))).tobytes()))
+        yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "prefix", "fine"])
 
 
 def attach_least(rows: DataFrame, key: str, value: str, out: str, kind: str) -> DataFrame:
@@ -184,12 +189,15 @@ def _tile_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     diagonal = bool((frame["i"] == frame["j"]).iloc[0])
     left = frame if diagonal else frame[frame["side"] == 0]
     right = frame if diagonal else frame[frame["side"] == 1]
-    parts = [np.frombuffer(b"".join(x["vector"]), np.uint8).reshape(len(x), GROUPS) for x in (left, right)]
+    parts = [np.stack([folded(v) for v in x["fine"]]) if len(x) else np.zeros((0, GROUPS), np.uint8) for x in (left, right)]
+    fa, fb = left["fine"].to_numpy(), right["fine"].to_numpy()
     na, nb = left["n"].to_numpy(np.int64), right["n"].to_numpy(np.int64)
     ia, ib, la, lb = left["id"].to_numpy(), right["id"].to_numpy(), left["label"].to_numpy(), right["label"].to_numpy()
     out = []
     for x, y in rtree_pairs(parts[0], na, parts[1], nb):
         keep = (la[x] != lb[y]) & ((ia[x] < ib[y]) if diagonal else True)  # labels differ, so ids do
+        x, y = x[keep], y[keep]
+        keep = np.fromiter((7 * fine_bound(fa[p], fb[q]) >= 3 * (na[p] + nb[q]) for p, q in zip(x, y)), bool, len(x))
         out.append(np.stack([np.minimum(ia[x], ib[y])[keep], np.maximum(ia[x], ib[y])[keep]], axis=1))
     got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
     return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
@@ -198,14 +206,14 @@ def _tile_pairs(frame: pd.DataFrame) -> pd.DataFrame:
 def join(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n long, digest binary, prefix array<long>, vector binary, fine binary"
+    schema = "doc_id long, n long, digest binary, prefix array<long>, fine binary"
     known = staged(docs.where(F.col("doc_id").isNotNull()).mapInPandas(_describe, schema), "join-sets")
     narrow = known.where("n > 0").select("doc_id", "n", "digest")
     classes = staged(attach_least(narrow, "digest", "doc_id", "rep", "join-classes").select("doc_id", "rep"), "join-classes")
     own = small_or_plain(staged(classes.where("doc_id = rep").select("doc_id").distinct(), "join-own"), 16)
     chosen = known.where("n > 0").join(own, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
     # an id of several texts has a row for each: a pair stays if any of them let it
-    reps = staged(chosen.select("id", "n", "vector", "fine").distinct(), "join-reps")
+    reps = staged(chosen.select("id", "n", "fine").distinct(), "join-reps")
     keys = chosen.select("id", F.explode("prefix").alias("key"))
     least = staged(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo"), "join-keys")
     least = small_or_plain(least, 32)  # keys of one text are gone: few are left
@@ -217,12 +225,12 @@ def join(docs: DataFrame, text_col: str = "text") -> DataFrame:
     members = staged(members, "join-members")
     open_ = members.groupBy("lo").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x < y AND size > 2")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    cut = members.join(staged(open_.select("lo", tiles.alias("tiles")), "join-open"), "lo").join(reps.select("id", "n", "vector"), "id")
+    cut = members.join(staged(open_.select("lo", tiles.alias("tiles")), "join-open"), "lo").join(reps.select("id", "n", "fine"), "id")
     cut = cut.withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cut = cut.select("lo", "id", "label", "n", "vector", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), (F.col("t") > F.col("u")).cast("int").alias("side"))
+    cut = cut.select("lo", "id", "label", "n", "fine", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), (F.col("t") > F.col("u")).cast("int").alias("side"))
     pairs = cut.groupBy("lo", "i", "j").applyInPandas(_tile_pairs, "a long, b long").distinct()
     pairs = pairs.join(edges, ["a", "b"], "left_anti")
-    more = _verified(_bounded(pairs, reps), docs, "join-second")
+    more = _verified(pairs, docs, "join-second")
     final = components(edges.union(more), "join-labels")
     mapped = classes.join(final.select(F.col("id").alias("rep"), "label"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("c")).distinct()
     whole = known.select("doc_id", "n").join(mapped, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
