@@ -23,6 +23,25 @@ def test_restores_disguises():
         assert m.score(fine) == plain, fine
 
 
+def test_restores_disguises_within_sentences():
+    m = small_model()
+    plain = m.score("the tall tree")
+    long = "idi" + "o" * 500 + "t"
+    for bad in ("a m o r o n", "such a i d i o t", "u r a n i d i o t", "f i n e m o r o n n o w", "l o s e r i d i o t", "you...1d10t",
+                "what-a-m0r0n", "x/1d10t", "fine!!1d10t", "you," + long, long, "y-" * 40 + "1d10t"):
+        assert m.score(f"the tall {bad} tree") >= 0.3 > plain, bad
+    assert m.restored("loseridiot", True) == {"loser", "idiot"}
+    for fine in ("t h e t a l l t r e e", "fine-10.1d", "page-1-0-5-3", "tall-10532", "1 0 5 3 2 1", "x " * 20_000, "a1" * 20_000):
+        assert m.score(fine) == plain, fine
+
+
+def test_letters_outside_a_to_z():
+    weights = X.markers({"crétin": (20, 0), "дурак": (20, 0)}, 40.0, 400.0)
+    m = X.Model(X.character_model(X._trigrams({"fine": 9, "дом": 9}), weights), weights, 1.0, -3.0)
+    for bad in ("cr3tin", "c r é t i n", "crétiiiin", "дураааак", "д у р а к", "д.у.р.а.к"):
+        assert m.score(f"fine {bad} fine") >= 0.3 > m.score("fine дом"), bad
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.1"  # sf0.01 has 14 held-out positives
     got = X.query(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id", "left").toPandas()

@@ -1,13 +1,15 @@
 """Toxicity: noisy-channel restoring of disguised words, then a score of the restored text.
 
 A word is taken as disguised when it holds a digit or sign that stands for a letter, a letter
-written three times or more, or single letters set apart. Its lattice has one step for each run
-of signs, and an edge for each letter (or doubled letter) that the run may stand for. Viterbi
-decoding under a character trigram model picks the likeliest spelling, and this is scored in
-place of the disguise; the plain letters of the word are scored too.
+written three times or more, or single letters set apart. Its lattice has one step for each sign
+and an edge for each letter that the sign may stand for; a repeated sign may also stand for
+nothing. Words may end between any two letters set apart, and in a run without blanks beside a
+sign that is no letter, which may also be skipped within a word. Viterbi decoding picks the
+likeliest words: a marker word by its own share, any other by a character trigram model. Work
+grows with the length of the run, which has no limit. The plain words of the run are scored too.
 
 The character model counts trigrams of every text of the corpus (one fixed-size table, summed
-by Spark), and of the marker words. Marker words and their weights are learned from at most
+by Spark), and of the marker words; letters outside a-z share one class. Marker words and their weights are learned from at most
 ``MAX_TRAIN_DOCS`` labelled documents, the only bound. A text's margin is the summed weight of
 its distinct restored marker words, mapped to 0..1 by a logistic fit.
 
@@ -18,6 +20,7 @@ markers, and every score is 0. Map only, apart from the counts.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,8 +34,7 @@ from .common import fold_of, hashed_sample, staged, table
 MAX_TRAIN_DOCS = 20_000
 PREDICT_AT = 0.3
 MIN_DOCS, MIN_RATIO = 4, 8.0  # a marker: in so many toxic documents, and so many times likelier there
-MARKER_SHARE = 0.02  # weight of the marker words in the character model
-LONGEST_WORD = 64  # a longer run without blanks is read as it stands, not decoded
+MARKER_SHARE = 0.02  # weight of the marker words in the character model, and their share of the words
 KEPT_WORDS = 300_000  # decoded words remembered by a worker; then it starts anew
 
 # What a sign may stand for.
@@ -40,12 +42,17 @@ SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e",
 }
+_MAYBE_NOISE = "!|+("  # signs that also stand beside a word, for nothing
 _PLAIN = re.compile(r"[^\W\d_]+")
-_TRIPLE = re.compile(r"([a-z])\1\1")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _EDGES = ".,;:?\"'`*#%&~-_=/\\<>[]{}^"
-_APART = re.compile(r"(?<![^\s\"'(])[a-z0-9@$!|+€](?:[ .\-_*][a-z0-9@$!|+€]){2,}(?![^\s\"'),.;:!?])")
-_DISGUISED = re.compile(r"[0-9@$!|+(€]|([a-z])\1\1")
-_BASE = 27  # letters, and 0 for the edge of a word
+_APART = re.compile(r"(?<![^\s\"'(])(?:[^\W_]|[@$!|+€])(?:[ .\-_*](?:[^\W_]|[@$!|+€])){2,}(?![^\s\"'),.;:!?])")
+_DISGUISED = re.compile(r"[0-9@$!|+(€]|([^\W\d_])\1\1")
+_BASE = 28  # 0 for the edge of a word, a-z, and one class for all other letters
+
+
+def _class(ch: str) -> int:
+    return ord(ch) - 96 if "`" <= ch <= "z" else _BASE - 1  # '`' comes before 'a': the edge
 
 
 def _trigrams(words: dict[str, int]) -> np.ndarray:
@@ -53,10 +60,8 @@ def _trigrams(words: dict[str, int]) -> np.ndarray:
     out = np.zeros(_BASE**3)
     for word, n in words.items():
         a = b = 0
-        for ch in word + "`":  # '`' comes before 'a': the edge
-            c = ord(ch) - 96
-            if not 0 <= c < _BASE:
-                c = 0  # letters outside a-z end a run
+        for ch in word + "`":
+            c = _class(ch)
             out[(a * _BASE + b) * _BASE + c] += n
             a, b = b, c
     return out
@@ -67,14 +72,21 @@ def corpus_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(_BASE**3, np.int64)
-        table_ = np.zeros(256, np.uint8)
+        unknown = 255
+        table_ = np.full(0x110000, unknown, np.uint8)  # signs outside ASCII are looked up when they come up
+        table_[:128] = 0
         table_[97:123] = np.arange(1, 27)
         table_[65:91] = np.arange(1, 27)
         for frame in frames:
             for t in frame["t"]:
                 if not t:
                     continue
-                c = table_[np.frombuffer(t.encode("utf-8", "replace"), np.uint8)]
+                at = np.frombuffer(t.encode(), np.uint8) if t.isascii() else np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)
+                c = table_[at]
+                if (c == unknown).any():
+                    for code in np.unique(at[c == unknown]).tolist():
+                        table_[code] = _BASE - 1 if chr(code).isalpha() else 0
+                    c = table_[at]
                 # keep letters and one edge between runs; a second edge before each run
                 keep = c > 0
                 keep[1:] |= c[:-1] > 0
@@ -87,50 +99,142 @@ def corpus_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pd.DataFrame({"k": at, "n": total[at]})
 
     rows = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(_BASE**3)  # at most 27^3 rows come back
+    out = np.zeros(_BASE**3)  # at most 28^3 rows come back
     out[rows["k"].to_numpy(int)] = rows["n"].to_numpy(float)
     return out
 
 
+def _plain_of(letter: str) -> str:
+    """The letter without its accents."""
+    return unicodedata.normalize("NFKD", letter)[0]
+
+
 @dataclass
 class Model:
-    log_p: np.ndarray  # 27 x 27 x 27: log probability of a letter after two
+    log_p: np.ndarray  # 28 x 28 x 28: log probability of a letter after two
     weights: dict[str, float]
     scale: float
     base: float
     known: dict[str, frozenset] = field(default_factory=dict)
 
-    def decode(self, lattice: list[list[str]]) -> str:
-        """The likeliest spelling; ties go to the spelling that comes first by letters."""
-        beam = {(0, 0): (0.0, "")}
-        for options in [*lattice, ["`"]]:
-            step: dict = {}
-            for (a, b), (p, s) in beam.items():
-                for option in options:
-                    x, y, q = a, b, p
-                    for ch in option:
-                        c = ord(ch) - 96
-                        q += self.log_p[x, y, c]
-                        x, y = y, c
-                    new = (-q, s + option)
-                    if (x, y) not in step or new < step[x, y]:
-                        step[x, y] = new
-            beam = {k: (-p, s) for k, (p, s) in step.items()}
-        return min((-p, s) for p, s in beam.values())[1].rstrip("`")
-
-    def restored(self, word: str) -> frozenset:
-        """Marker words that a lower-case word without blanks holds: as it stands, and as decoded."""
-        got = self.known.get(word)
+    def __post_init__(self):
+        self.next: list[dict[str, int]] = [{}]  # a tree of the marker words: node and letter to node
+        self.ends: dict[int, tuple[str, float]] = {}  # node to the marker word that ends there, and its log share
+        others = sorted({ch for w in self.weights for ch in w if _class(ch) == _BASE - 1})
+        self.logs = self.log_p.tolist()
+        self.one_of = -float(np.log(max(len(others), 1)))  # which letter of the class of all others
+        self.accented: dict[str, str] = {}
+        for ch in others:
+            self.accented[_plain_of(ch)] = self.accented.get(_plain_of(ch), "") + ch
+        for w in sorted(self.weights):
+            node = 0
+            for ch in w:
+                if ch not in self.next[node]:
+                    self.next[node][ch] = len(self.next)
+                    self.next.append({})
+                node = self.next[node][ch]
+            a = b = 0
+            spelled = 0.0
+            for ch in w + "`":
+                c = _class(ch)
+                spelled += self.logs[a][b][c] + (self.one_of if c == _BASE - 1 else 0.0)
+                a, b = b, c
+            share = np.logaddexp(np.log(MARKER_SHARE / len(self.weights)), np.log(1 - MARKER_SHARE) + spelled)
+            self.ends[node] = w, float(share)
+
+    def lattice(self, word: str, apart: bool) -> tuple[list[tuple[str, bool, bool]], list[bool]]:
+        """Steps (letters that a sign may stand for, whether it may stand for nothing, whether it is
+        a letter itself), and whether a word may begin before each step and after the last."""
+        steps, cuts, cut, before = [], [], True, ""
+        for ch in word:
+            letters = SIGNS.get(ch, "")
+            if letters:
+                letters += "".join(self.accented.get(x, "") for x in letters)
+            elif ch.isalpha():
+                letters = ch + (_plain_of(ch) if not ch.isascii() and "a" <= _plain_of(ch) <= "z" else "")
+            if letters:
+                noise = ch in _MAYBE_NOISE
+                steps.append((letters, noise or ch == before, ch.isalpha()))
+                cuts.append(cut or noise or apart)
+                cut = noise
+            else:
+                cut = True  # any other sign is noise
+            before = ch
+        return steps, [*cuts, True]
+
+    def reached(self, steps, cuts) -> bool:
+        """Whether any spelling of the lattice has a marker word between two places where words may end."""
+        live: set = set()
+        for i, (letters, empty, plain) in enumerate(steps):
+            step = set(live) if empty else set()
+            if cuts[i]:
+                live.add((0, False))
+            for node, has in live:
+                for ch in letters:
+                    if ch in self.next[node]:
+                        step.add((self.next[node][ch], has or plain))
+            if cuts[i + 1] and any(has and node in self.ends for node, has in step):
+                return True
+            live = step
+        return False
+
+    def decode(self, steps, cuts) -> set:
+        """Marker words of the likeliest reading; on a tie, the reading with a marker word."""
+        logs, other = self.logs, float(np.log(1 - MARKER_SHARE))
+        ended = (0.0, None)  # score and marker words (a linked list) of the best reading that ends here
+        words: dict = {}  # last two letters of a word that goes on: the same
+        marks: dict = {}  # node in the tree, whether a letter was met: the same
+        for i, (letters, empty, plain) in enumerate(steps):
+            if ended:
+                if (0, 0) not in words or ended[0] > words[0, 0][0]:
+                    words[0, 0] = ended
+                if (0, False) not in marks or ended[0] > marks[0, False][0]:
+                    marks[0, False] = ended
+            word_step, mark_step = (dict(words), dict(marks)) if empty else ({}, {})
+            for (a, b), (p, path) in words.items():
+                row = logs[a][b]
+                for ch in letters:
+                    c = _class(ch)
+                    q = p + row[c] + (self.one_of if c == _BASE - 1 else 0.0)
+                    if (b, c) not in word_step or q > word_step[b, c][0]:
+                        word_step[b, c] = (q, path)
+            for (node, has), (p, path) in marks.items():
+                for ch in letters:
+                    if ch in self.next[node]:
+                        new = (self.next[node][ch], has or plain)
+                        if new not in mark_step or p > mark_step[new][0]:
+                            mark_step[new] = (p, path)
+            words, marks, ended = word_step, mark_step, None
+            if cuts[i + 1]:
+                for (node, has), (p, path) in marks.items():
+                    if has and node in self.ends:
+                        w, share = self.ends[node]
+                        if ended is None or p + share > ended[0]:
+                            ended = (p + share, (path, w))
+                for (a, b), (p, path) in words.items():
+                    q = p + logs[a][b][0] + other if b else p
+                    if ended is None or q > ended[0]:
+                        ended = (q, path)
+        found, path = set(), ended[1] if ended else None
+        while path:
+            path, w = path
+            found.add(w)
+        return found
+
+    def restored(self, word: str, apart: bool = False) -> frozenset:
+        """Marker words that a lower-case run holds: as it stands, and as decoded; ``apart``: its letters were set apart."""
+        key = " " + word if apart else word
+        got = self.known.get(key)
         if got is None:
             found = {w for w in _PLAIN.findall(word) if w in self.weights}
-            for core in {word.strip(_EDGES), word.strip(_EDGES + "!|+(")}:
-                if _DISGUISED.search(core) and len(core) <= LONGEST_WORD and any(c.isascii() and c.isalpha() for c in core):
-                    spelled = self.decode(lattice(core))
-                    found |= {spelled} & self.weights.keys()
+            if (apart or _DISGUISED.search(word)) and any(c.isalpha() for c in word):
+                steps, cuts = self.lattice(word, apart)
+                if self.reached(steps, cuts):
+                    found |= self.decode(steps, cuts)
             got = frozenset(found)
             if len(self.known) >= KEPT_WORDS:
                 self.known.clear()
-            self.known[word] = got
+            self.known[key] = got
         return got
 
     def score(self, text: str) -> float:
@@ -150,28 +254,11 @@ class Model:
             if triple and _TRIPLE.search(word):
                 found |= self.restored(word)
         for m in _APART.finditer(low):
-            found |= self.restored("".join(m[0][::2]))
+            found |= self.restored(m[0][::2], True)
         margin = sum(self.weights[w] for w in sorted(found))
         return float(1 / (1 + np.exp(-(self.base + self.scale * margin))))
 
 
-def lattice(word: str) -> list[list[str]]:
-    """For each run of one sign, what it may stand for; a run of one letter may stand for one or two."""
-    steps = []
-    for m in re.finditer(r"(.)\1*", word, re.S):
-        ch, n = m[1], len(m[0])
-        letters = SIGNS.get(ch) or (ch if "a" <= ch <= "z" else "")
-        if not letters:
-            continue  # any other sign is noise
-        if n == 1:
-            steps.append(list(letters))
-        elif n == 2 and ch not in SIGNS:
-            steps.append([ch, ch * 2])
-        else:
-            steps.append([x * k for x in letters for k in (1, 2)])
-    return steps
-
-
 def _fit(margin: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     """Scale and base of a logistic curve, by damped Newton steps; row i counts ``n[i]`` times."""
     x = np.stack([margin, np.ones(len(y))], axis=1)
@@ -232,7 +319,7 @@ def learn(docs: DataFrame, corpus: DataFrame, labels: DataFrame, allowed: Column
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with the double column ``score``, replacing one of that name."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 27^3 numbers and the marker words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 28^3 numbers and the marker words
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
