@@ -45,6 +45,29 @@ def test_against_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_every_link(spark):
+    r = random.Random(5)
+    rows = []
+    for _ in range(6):  # near copies of one text each: most links are between two that aren't the smallest
+        base = [f"w{r.randrange(3000)}" for _ in range(80)]
+        for _ in range(12):
+            own = list(base)
+            own[r.randrange(80)] = f"e{r.randrange(9999)}"
+            rows.append(" ".join(own))
+    rows += [rows[3], rows[3], rows[20], "", None]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = J.links(d)
+    sets = [set(J.shingle_set(t).tolist()) for t in rows]
+    first = {}
+    cls = [first.setdefault(frozenset(s), i) if s else i for i, s in enumerate(sets)]
+    reps = [i for i in range(len(rows)) if cls[i] == i and sets[i]]
+    want = {(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(want) > 300
+    assert sorted(map(tuple, got.pairs.collect())) == sorted(want)
+    members = {m.doc_id: (m.class_id, m.n_links) for m in got.members.collect()}
+    assert members == {i: (cls[i], sum(cls[i] in p for p in want)) for i in range(len(rows))}
+
+
 def test_bound_never_loses_a_pair():
     r = np.random.default_rng(1)
     base = r.integers(-(2**62), 2**62, 40_000)

@@ -8,15 +8,19 @@ links with nothing). Two sets link when 100 * intersection >= 75 * union.
 2. Sets that link share one of their first ``n - ceil(0.75 n) + 1`` shingles in hash order.
    Each class is put into the block of the smallest class that has such a shingle of its own;
    so two that link meet in the block of the smallest holder of their shared shingle.
-3. Every member is held against its block's smallest class, as in 5; links give first components.
-4. In blocks that still hold several components, an R-tree over count vectors (shingles hashed
-   into ``GROUPS`` groups, counts capped into bytes from above) finds the other pairs: the
-   overlap with a point or a box is at most the sum of coordinate minima, and a pair can only
-   link if this reaches 3/7 of the summed sizes. Pairs inside a component are left out: they
-   cannot change it. Blocks are cut into tiles of ``TILE`` by ``TILE`` classes, so no task holds
-   a whole large block.
+3. Every member is held against its block's smallest class, as in 5.
+4. In blocks of more than two, an R-tree over count vectors (shingles hashed into ``GROUPS``
+   groups, counts capped into bytes from above) finds all other pairs: the overlap with a point
+   or a box is at most the sum of coordinate minima, and a pair can only link if this reaches
+   3/7 of the summed sizes. Blocks are cut into tiles of ``TILE`` by ``TILE`` classes, so no task
+   holds a whole large block.
 5. Surviving pairs must pass the same bound on finer vectors, of one group for at most ``FINE``
-   shingles on average (the tree's are folded from them), and are then verified on whole sets. Components come from smallest-label spreading.
+   shingles on average (the tree's are folded from them). A pair met in several tiles is kept in
+   the first of them by hash, and is verified there on whole sets, which travel once for each
+   text of about ``VERIFIED`` pairs.
+
+The join's output is every link between two classes, and each row's class, component (from
+smallest-label spreading over the links) and number of links.
 
 Null and empty texts get n_shingles 0 and their own id. Rows that repeat a doc_id are one
 document each, with the same id. Rows with a null doc_id come back with a null component and
@@ -26,6 +30,7 @@ link nothing. Extra columns are ignored. Shingles are told apart by 64-bit hashe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,6 +43,7 @@ from .common import small_or_plain, staged, table, without_ids
 GROUPS = 64
 TILE = 1000
 FINE = 4  # shingles in a group of the finer vectors, at most, on average
+VERIFIED = 5000  # candidate pairs verified together, on average
 LEAF = 32  # points in a leaf of the R-tree
 HEAVY_SHARE = 1000  # keys with more than 1 / HEAVY_SHARE of all rows: at most so many, broadcast
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -156,24 +162,38 @@ def components(edges: DataFrame, kind: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, kind: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
-    pairs = staged(pairs, kind)
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), kind)
+    """The pairs (a, b) whose whole sets link, of candidates (a, b, tile)."""
+    pairs = staged(pairs.groupBy("a", "b").agg(F.min("tile").alias("tile")), kind)
+    parts = max(1, -(-pairs.count() // VERIFIED))
+    pairs = pairs.select("a", "b", F.pmod("tile", F.lit(parts)).alias("part"))
+    wanted = staged(pairs.select("part", F.explode(F.array("a", "b")).alias("doc_id")).distinct(), kind)
+    ids = staged(wanted.select("doc_id").distinct(), kind)
 
     @F.pandas_udf("array<long>")
     def sets(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t) for t in texts])
 
     texts = docs.join(small_or_plain(ids, 16), "doc_id", "left_semi")
-    held = staged(texts.select("doc_id", sets("text").alias("s")), kind)
-    a, b = (held.select(F.col("doc_id").alias(x), F.col("s").alias("s" + x)) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return staged(both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("n")).where("7 * c >= 3 * n").select("a", "b").distinct(), kind)
+    held = staged(texts.select("doc_id", sets("text").alias("s")).distinct(), kind)
+    sent = wanted.join(held, "doc_id").select("part", "doc_id", "s")
+    both = pairs.groupBy("part").cogroup(sent.groupBy("part"))
+    return staged(both.applyInPandas(_linked, "a long, b long"), kind)
+
+
+def _linked(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    """The pairs that link; an id of several texts has several sets."""
+    held: dict = {}
+    for i, x in zip(sets["doc_id"], sets["s"]):
+        held.setdefault(i, []).append(np.asarray(x, np.int64))
+    keep = [
+        any(7 * len(np.intersect1d(x, y, assume_unique=True)) >= 3 * (len(x) + len(y)) for x in held[a] for y in held[b] if len(x) and len(y))
+        for a, b in zip(pairs["a"], pairs["b"])
+    ]
+    return pairs.loc[np.array(keep, bool), ["a", "b"]]
 
 
 def _bounded(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and finer vectors allow a link, so that whole sets travel for few."""
+    """The pairs (a, b, tile) whose sizes and finer vectors allow a link, so that whole sets travel for few."""
 
     @F.pandas_udf("boolean")
     def may_link(va: pd.Series, vb: pd.Series, n: pd.Series) -> pd.Series:
@@ -181,7 +201,7 @@ def _bounded(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     sides = [reps.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("fine").alias("v" + x)) for x in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").where("4 * na >= 3 * nb AND 4 * nb >= 3 * na")
-    return both.where(may_link("va", "vb", F.col("na") + F.col("nb"))).select("a", "b").distinct()
+    return both.where(may_link("va", "vb", F.col("na") + F.col("nb"))).select("a", "b", "tile").distinct()
 
 
 def _tile_pairs(frame: pd.DataFrame) -> pd.DataFrame:
@@ -192,24 +212,33 @@ def _tile_pairs(frame: pd.DataFrame) -> pd.DataFrame:
     parts = [np.stack([folded(v) for v in x["fine"]]) if len(x) else np.zeros((0, GROUPS), np.uint8) for x in (left, right)]
     fa, fb = left["fine"].to_numpy(), right["fine"].to_numpy()
     na, nb = left["n"].to_numpy(np.int64), right["n"].to_numpy(np.int64)
-    ia, ib, la, lb = left["id"].to_numpy(), right["id"].to_numpy(), left["label"].to_numpy(), right["label"].to_numpy()
+    ia, ib = left["id"].to_numpy(), right["id"].to_numpy()
     out = []
     for x, y in rtree_pairs(parts[0], na, parts[1], nb):
-        keep = (la[x] != lb[y]) & ((ia[x] < ib[y]) if diagonal else True)  # labels differ, so ids do
-        x, y = x[keep], y[keep]
+        if diagonal:  # elsewhere the tiles' ids differ
+            keep = ia[x] < ib[y]
+            x, y = x[keep], y[keep]
         keep = np.fromiter((7 * fine_bound(fa[p], fb[q]) >= 3 * (na[p] + nb[q]) for p, q in zip(x, y)), bool, len(x))
         out.append(np.stack([np.minimum(ia[x], ib[y])[keep], np.maximum(ia[x], ib[y])[keep]], axis=1))
     got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+    return pd.DataFrame({"a": got[:, 0], "b": got[:, 1], "tile": frame["tile"].iloc[0]})
 
 
-def join(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``."""
+class Links(NamedTuple):
+    pairs: DataFrame  # a, b: every link between two classes, by their smallest doc_ids, a < b
+    members: DataFrame  # doc_id, n_shingles, class_id, component_id, n_links: one row per row of the input
+
+
+def links(docs: DataFrame, text_col: str = "text") -> Links:
+    """All links of ``docs``; ``n_links`` counts the classes that a row's class links with.
+
+    A row without words is its own class and has no links; one without a doc_id has no class either.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n long, digest binary, prefix array<long>, fine binary"
     known = staged(docs.where(F.col("doc_id").isNotNull()).mapInPandas(_describe, schema), "join-sets")
     narrow = known.where("n > 0").select("doc_id", "n", "digest")
-    classes = staged(attach_least(narrow, "digest", "doc_id", "rep", "join-classes").select("doc_id", "rep"), "join-classes")
+    classes = staged(attach_least(narrow, "digest", "doc_id", "rep", "join-classes").select("doc_id", "digest", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "join-classes")
     own = small_or_plain(staged(classes.where("doc_id = rep").select("doc_id").distinct(), "join-own"), 16)
     chosen = known.where("n > 0").join(own, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
     # an id of several texts has a row for each: a pair stays if any of them let it
@@ -218,24 +247,32 @@ def join(docs: DataFrame, text_col: str = "text") -> DataFrame:
     least = staged(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo"), "join-keys")
     least = small_or_plain(least, 32)  # keys of one text are gone: few are left
     blocks = staged(keys.join(least, "key").select("lo", "id").distinct(), "join-blocks")
-    spokes = blocks.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    edges = _verified(_bounded(spokes, reps), docs, "join-first")
-    first = components(edges, "join-labels")
-    members = blocks.join(first, "id", "left").select("lo", "id", F.coalesce("label", "id").alias("label"))
-    members = staged(members, "join-members")
-    open_ = members.groupBy("lo").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x < y AND size > 2")
+    spokes = blocks.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"), F.xxhash64("lo", "id").alias("tile"))
+    rest = blocks.where("id <> lo")
+    large = rest.groupBy("lo").agg(F.count("*").alias("size")).where("size > 1")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    cut = members.join(staged(open_.select("lo", tiles.alias("tiles")), "join-open"), "lo").join(reps.select("id", "n", "fine"), "id")
+    cut = rest.join(staged(large.select("lo", tiles.alias("tiles")), "join-open"), "lo").join(reps, "id")
     cut = cut.withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cut = cut.select("lo", "id", "label", "n", "fine", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), (F.col("t") > F.col("u")).cast("int").alias("side"))
-    pairs = cut.groupBy("lo", "i", "j").applyInPandas(_tile_pairs, "a long, b long").distinct()
-    pairs = pairs.join(edges, ["a", "b"], "left_anti")
-    more = _verified(pairs, docs, "join-second")
-    final = components(edges.union(more), "join-labels")
-    mapped = classes.join(final.select(F.col("id").alias("rep"), "label"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("c")).distinct()
-    whole = known.select("doc_id", "n").join(mapped, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    cut = cut.select("lo", "id", "n", "fine", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), (F.col("t") > F.col("u")).cast("int").alias("side"))
+    cut = cut.withColumn("tile", F.xxhash64("lo", "i", "j"))
+    pairs = cut.groupBy("lo", "i", "j").applyInPandas(_tile_pairs, "a long, b long, tile long")
+    found = _verified(_bounded(spokes, reps).unionByName(pairs), docs, "join-pairs")
+    ends = staged(found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links")), "join-counts")
+    labels = components(found, "join-labels").withColumnRenamed("id", "rep").join(ends, "rep")
+    mapped = classes.join(labels, "rep", "left").select("doc_id", "digest", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("c"), "n_links")
+    members = known.select("doc_id", "n", "digest").join(mapped, ["doc_id", "digest"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("c", "doc_id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
     lost = docs.where(F.col("doc_id").isNull()).mapInPandas(_describe, schema)
-    return whole.unionByName(lost.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    none = F.lit(None).cast("long")
+    lost = lost.select("doc_id", F.col("n").alias("n_shingles"), none.alias("class_id"), none.alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return Links(found, members.unionByName(lost))
+
+
+def join(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``."""
+    return links(docs, text_col).members.select("doc_id", "n_shingles", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
