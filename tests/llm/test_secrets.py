@@ -134,6 +134,22 @@ def test_structures_are_confirmed():
     assert kinds("A" * 400 + " " + base64.b64encode(b"plain words, no key" * 9).decode()) == []
 
 
+def test_keys_as_they_leak():
+    for key, kind in ((rsa_key(), "der"), (pkcs8(), "der"), (ssh_key(), "ssh")):
+        blob = base64.b64encode(key).decode()
+        for width in (64, 76):
+            for end in ("\n", "\r\n", "\\n", "\\r\\n"):
+                lines = end.join(blob[i : i + width] for i in range(0, len(blob), width))
+                armoured = f"-----BEGIN PRIVATE KEY-----{end}{lines}{end}-----END PRIVATE KEY-----"
+                assert S.scan(f'"k": "{armoured}{end}",') == [(6, 6 + len(armoured), "pem")]
+                assert S.scan(f"k {lines}{end}more words") == [(2, 2 + len(lines), kind)]
+                assert S.redact(f"k {lines} more") == "k [SECRET] more"
+        for before in ("/", "-", "_", "x", "ab/", "abc-", "A" * 61):
+            assert S.scan(before + blob) == [(len(before), len(before) + len(blob), kind)]
+    many = lambda n: ssh_key().replace(struct.pack(">I", 1) + struct.pack(">I", 51) + b"p" * 51, struct.pack(">I", n) + (struct.pack(">I", 51) + b"p" * 51) * n)
+    assert S.is_openssh_key(many(40)) and not S.is_openssh_key(many(40) + b"x")
+
+
 def test_redact():
     t = 'a token = "abcdef0123456789abcdef0123" b'
     assert S.redact(t) == 'a [SECRET]" b'

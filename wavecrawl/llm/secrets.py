@@ -13,6 +13,9 @@ decoded bytes have the structure of a credential:
 - ``ssh``: base64 or hex of an ``openssh-key-v1`` private key whose length-prefixed
   fields fill it exactly.
 
+Lines of base64 or hex that follow each other, by real or escaped line ends, are read as one.
+A key may begin anywhere in them; its own lengths say where it ends.
+
 Offsets are code points, ends exclusive. Null texts count as empty, and give no spans.
 Every span is found in the whole text; repeated secrets are reported at each place.
 """
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -45,8 +49,13 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*(?:-[^-]+)*)-----END \1-----")
-_B64 = re.compile(r"[A-Za-z0-9+/_-]{44,}={0,2}")
-_LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
+_LINE_END = r"(?:(?:\\+r)?\\+n|\r?\n)[ \t]*"
+_ENDS = re.compile(_LINE_END)
+_B64 = re.compile(rf"[A-Za-z0-9+/_-]{{44,}}(?:{_LINE_END}[A-Za-z0-9+/_-]+)*={{0,2}}")
+_LONG_HEX = re.compile(rf"[0-9A-Fa-f]{{64,}}(?:{_LINE_END}[0-9A-Fa-f]+)*")
+# How the first bytes of a DER sequence of 32 bytes or more, and of the magic text, look when encoded.
+_B64_START = re.compile(r"(?=M[B-I]|b3BlbnNzaC1rZXktdjE)")
+_HEX_START = re.compile(r"(?i)(?=30(?:1[ef]|[2-7][0-9a-f]|8[1-4])|6f70656e7373682d6b65792d763100)")
 _SSH_MAGIC = b"openssh-key-v1\0"
 
 
@@ -60,6 +69,10 @@ def _b64(s: str) -> bytes | None:
         return None
 
 
+def _unhex(s: str) -> bytes:
+    return bytes.fromhex(s[: len(s) // 2 * 2])
+
+
 def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
     """(tag, start, end) of the DER items that fill data[at:end] exactly, else None."""
     items = []
@@ -116,31 +129,93 @@ def is_private_der(data: bytes) -> bool:
     return False
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """``openssh-key-v1``: cipher, kdf, options, key count, public keys and private block fill it."""
+def _ssh_size(data: bytes) -> int | None:
+    """Length of the ``openssh-key-v1`` key that ``data`` begins with: cipher, kdf, options, key count, public keys, private block."""
     if not data.startswith(_SSH_MAGIC):
-        return False
+        return None
     at = len(_SSH_MAGIC)
 
-    def field() -> bytes | None:
+    def field() -> int | None:
         nonlocal at
         if at + 4 > len(data):
             return None
         (n,) = struct.unpack_from(">I", data, at)
         if at + 4 + n > len(data):
             return None
-        got = data[at + 4 : at + 4 + n]
         at += 4 + n
-        return got
+        return n
 
     if any(field() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+        return None
     (keys,) = struct.unpack_from(">I", data, at)
     at += 4
-    if not 1 <= keys <= 16 or any(field() is None for _ in range(keys)):
-        return False
-    private = field()
-    return bool(private) and at == len(data)
+    if not keys or any(field() is None for _ in range(keys)):
+        return None
+    return at if field() else None
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """Whether an ``openssh-key-v1`` key fills ``data``."""
+    return _ssh_size(data) == len(data)
+
+
+def _der_size(head: bytes) -> int | None:
+    """Length of the DER sequence that begins so, if its first item can be that of a private key."""
+    if len(head) < 8 or head[0] != 0x30:
+        return None
+    n, at = head[1], 2
+    if n & 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4:
+            return None
+        n, at = int.from_bytes(head[2 : 2 + k], "big"), 2 + k
+    return at + n if head[at] in (0x02, 0x30) else None
+
+
+def _keys_in(run: str, start: re.Pattern, decode, chars: int, size: int) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the keys in an encoded run; ``chars`` characters stand for ``size`` bytes."""
+    found, done = [], 0
+    for m in start.finditer(run):
+        at = m.start()
+        if at < done:
+            continue
+        head = decode(run[at : at + 12 * chars // size]) or b""
+        if head.startswith(_SSH_MAGIC[: len(head)]):
+            whole = (len(run) - at) // chars * chars
+            tail = decode(run[at:]) or decode(run[at : at + whole]) or b""
+            n, kind = _ssh_size(tail), "ssh"
+        else:
+            n, kind = _der_size(head), "der"
+        end = at + -(-(n or 0) * chars // size)
+        if n and end <= len(run) and (kind == "ssh" or is_private_der(decode(run[at:end]) or b"")):
+            found.append((at, end, kind))
+            done = end
+    return found
+
+
+def _encoded(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of keys in runs of base64 or hex, of one line or several."""
+    found = []
+    for pattern, start, decode, chars, size in ((_B64, _B64_START, _b64, 4, 3), (_LONG_HEX, _HEX_START, _unhex, 2, 1)):
+        for m in pattern.finditer(text):
+            run, places, at = [], [], m.start()  # places: joined length before a line, and the line's offset
+            length = 0
+            for e in [*_ENDS.finditer(text, m.start(), m.end()), None]:
+                line = text[at : e.start() if e else m.end()]
+                if not e:
+                    line = line.rstrip("=")
+                places.append((length, at))
+                run.append(line)
+                length += len(line)
+                at = e.end() if e else at
+            for a, b, kind in _keys_in("".join(run), start, decode, chars, size):
+                x, y = (places[bisect.bisect_right(places, (i, len(text))) - 1] for i in (a, b - 1))
+                end = y[1] + b - y[0]
+                pad = -(b - a) % 4 if chars == 4 else 0
+                while pad and text[end : end + 1] == "=":
+                    end, pad = end + 1, pad - 1
+                found.append((x[1] + a - x[0], end, kind))
+    return found
 
 
 def is_jwt(header: str, payload: str, signature: str) -> bool:
@@ -164,7 +239,7 @@ def is_jwt(header: str, payload: str, signature: str) -> bool:
 
 
 def _pem_ok(body: str) -> bool:
-    lines = [x.strip() for x in body.strip().splitlines()]
+    lines = [x.strip() for x in _ENDS.sub("\n", body).strip().splitlines()]
     headers = [x for x in lines if ":" in x]
     raw = _b64("".join("".join(x for x in lines if ":" not in x).split()))
     if not raw:
@@ -187,14 +262,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     found = [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_jwt(m[1], m[2], m[3])]
     if "-----BEGIN " in text:
         found += [(m.start(), m.end(), "pem") for m in _PEM.finditer(text) if _pem_ok(m[2])]
-    for pattern, decode in ((_B64, _b64), (_LONG_HEX, lambda s: bytes.fromhex(s) if len(s) % 2 == 0 else None)):
-        for m in pattern.finditer(text):
-            raw = decode(m[0])
-            if raw and is_private_der(raw):
-                found.append((m.start(), m.end(), "der"))
-            elif raw and is_openssh_key(raw):
-                found.append((m.start(), m.end(), "ssh"))
-    return found
+    return found + _encoded(text)
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
