@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, html_text, jaccard_join, langid, packing, quality, secrets, token_counts, toxicity
+from . import decontaminate, fingerprints, html_text, jaccard_join, langid, packing, quality, secrets, token_counts, toxicity, vector_codes
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_token_counts": token_counts.query,
     "op10_decontamination": decontaminate.query,
+    "op11_vector_codes": vector_codes.query,
 }
 
 ORACLES: dict[str, str] = {
