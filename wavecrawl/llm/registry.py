@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, html_text, jaccard_join, langid, packing, quality, secrets, token_counts, toxicity, vector_codes
+from . import bpe, decontaminate, fingerprints, html_text, jaccard_join, langid, packing, quality, secrets, token_counts, toxicity, vector_codes
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": token_counts.query,
     "op10_decontamination": decontaminate.query,
     "op11_vector_codes": vector_codes.query,
+    "op12_bpe": bpe.query,
 }
 
 ORACLES: dict[str, str] = {
