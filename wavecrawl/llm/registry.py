@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprints, html_text, jaccard_join, langid, packing, quality, secrets, token_counts, toxicity, vector_codes
+from . import (
+    bpe,
+    decontaminate,
+    fingerprints,
+    html_text,
+    jaccard_join,
+    langid,
+    packing,
+    periodic_runs,
+    quality,
+    secrets,
+    token_counts,
+    toxicity,
+    vector_codes,
+)
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
@@ -17,6 +31,7 @@ QUERIES = {
     "op10_decontamination": decontaminate.query,
     "op11_vector_codes": vector_codes.query,
     "op12_bpe": bpe.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
 
 ORACLES: dict[str, str] = {
