@@ -9,8 +9,10 @@ is merged, three leaves change (the merged place, the place that goes, the place
 change climbs as far as it alters a minimum, until the root holds no pair. A word of n bytes so
 takes O(n log n) whatever it holds; a run of millions of blanks is one word, encoded whole.
 
-Words repeat, so each worker remembers the ids of at most ``KEPT_WORDS`` words of at most
-``LONGEST_KEPT`` characters, and starts anew beyond that; ids don't depend on it.
+Words repeat, so each worker remembers the ids of words of at most ``LONGEST_KEPT`` characters, in
+two generations of at most ``KEPT_WORDS`` words: when the newer one is full, the older one is given
+up, and what is still in use moves over. Ids don't depend on it. Arrow batches are worked through in
+slices of about ``SLICE_BYTES``, so a worker holds the ids of few texts at a time.
 
 Decoding joins the bytes of all ids and reads them as UTF-8, broken sequences as U+FFFD. Ids
 without a token are left out, null ids too; added tokens stay. Null texts encode as empty ones, to
@@ -24,19 +26,22 @@ import itertools
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
-KEPT_WORDS = 100_000
+KEPT_WORDS = 80_000
 LONGEST_KEPT = 48
+SLICE_BYTES = 4 << 20
 LONG_WORD = 4096  # symbols from which flat arrays replace lists (memory only)
 NO_PAIR = (1 << 63) - 1
 PLACE_BITS = 36
@@ -75,6 +80,7 @@ class Codec:
         self.apart = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
         self.words = regex.compile(pattern)
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, ids) -> list[int]:
         """Symbol ids of one word after all merges."""
@@ -125,13 +131,16 @@ class Codec:
         return [x for x in ids if x >= 0]
 
     def word(self, word: str) -> tuple[int, ...]:
-        symbols = map(self.byte_id.__getitem__, word.encode("utf-8", "surrogatepass"))
-        if len(word) >= LONG_WORD:
-            return tuple(self.merge(array("q", symbols)))
-        ids = tuple(self.merge(list(symbols)))
+        """Ids of a word that is not in the newer generation."""
+        ids = self.older.get(word)
+        if ids is None:
+            symbols = map(self.byte_id.__getitem__, word.encode("utf-8", "surrogatepass"))
+            if len(word) >= LONG_WORD:
+                return tuple(self.merge(array("q", symbols)))
+            ids = tuple(self.merge(list(symbols)))
         if len(word) <= LONGEST_KEPT:
             if len(self.kept) >= KEPT_WORDS:
-                self.kept.clear()
+                self.older, self.kept = self.kept, {}
             self.kept[word] = ids
         return ids
 
@@ -175,37 +184,71 @@ def codec(path: str) -> Codec:
     return Codec(read_spec(path), public_tokenizers.PATTERN)
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the array column ``ids_col``. Map only; ``vocabulary`` is the file's path, on every node."""
-    path = vocabulary or default_vocabulary()
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where ``column`` passes ``SLICE_BYTES``; a longer value is a slice of its own."""
+    for batch in batches:
+        own, width = batch[column], 1
+        if pa.types.is_list(own.type):
+            width = 4
+            sizes = pc.fill_null(pc.list_value_length(own), 0)
+        else:
+            sizes = pc.fill_null(pc.binary_length(own), 0)
+        fill = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64) * width // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(fill)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _with(df: DataFrame, source: str, made: dict[str, tuple[T.DataType, Callable]], path: str) -> DataFrame:
+    """``df`` with new columns: (type, codec and values of ``source`` -> Arrow array; later ones see earlier ones)."""
+    schema = T.StructType([f for f in df.schema if f.name not in made] + [T.StructField(n, t) for n, (t, _) in made.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for texts in batches:
-            yield pd.Series([np.array(own.encode(t if t is not None else ""), np.int32) for t in texts], dtype=object)
+        for batch in _slices(batches, source):
+            columns = dict(zip(batch.schema.names, batch.columns))
+            values = columns[source]
+            for name, (_, make) in made.items():
+                values = columns[name] = make(own, values)
+            yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _encoded(own: Codec, texts: pa.Array) -> pa.Array:
+    lists = [np.array(own.encode(t or ""), np.int32) for t in texts.to_pylist()]
+    ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
 
-    return docs.withColumn(ids_col, run(F.col(text_col)))
+
+def _decoded(own: Codec, lists: pa.Array) -> pa.Array:
+    return pa.array([own.decode(x or ()) for x in lists.to_pylist()], pa.string())
+
+
+IDS = T.ArrayType(T.IntegerType())
+
+
+def encode(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``docs`` with the array column ``ids_col``. Map only; ``vocabulary`` is the file's path, on every node."""
+    return _with(docs, text_col, {ids_col: (IDS, _encoded)}, vocabulary or default_vocabulary())
 
 
 def decode(coded: DataFrame, vocabulary: str | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``coded`` with the text column ``text_col`` made from the ids alone. Map only."""
-    path = vocabulary or default_vocabulary()
+    return _with(coded, ids_col, {text_col: (T.StringType(), _decoded)}, vocabulary or default_vocabulary())
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(path)
-        for lists in batches:
-            yield pd.Series([own.decode(() if x is None else x.tolist()) for x in lists], dtype=object)
 
-    return coded.withColumn(text_col, run(F.col(ids_col)))
+def round_trip(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids``, and ``decoded``, made from the ids: both in one pass."""
+    made = {"ids": (IDS, _encoded), "decoded": (T.StringType(), _decoded)}
+    return _with(docs, text_col, made, vocabulary or default_vocabulary())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op12: ids of every whole document and the text they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decode(encode(docs).drop("text"))
-    return done.select(
+    return round_trip(docs).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
