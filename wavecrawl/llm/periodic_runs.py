@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, table
+from .common import table
 
 LEAST = 12  # words of the shortest run
 WINDOW = LEAST // 2  # words that such a run surely repeats in a row
@@ -336,7 +336,11 @@ def find_runs(docs: DataFrame, text_col: str = "text", out_col: str = "periodic"
         runs = runs_of(words)
         return runs, " ".join(collapsed(words, runs))
 
-    return docs.withColumn(out_col, per_text(F.col(text_col), one, RESULT))
+    @F.pandas_udf(RESULT)  # not an iterator, so that it shares a worker with a plain one below it
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t or "") for t in texts], columns=["runs", "collapsed"])
+
+    return docs.withColumn(out_col, run(F.col(text_col)))
 
 
 def with_repeated_tails(docs: DataFrame, text_col: str = "text") -> DataFrame:
