@@ -379,9 +379,14 @@ def output_path(final_url: Column, base_url: Column) -> Column:
     )
 
 
+def with_suffix(path: Column, suffix: Column) -> Column:
+    """``dir/name.md`` → ``dir/name--<suffix>.md``."""
+    return F.concat(F.regexp_replace(path, r"\.md$", ""), F.lit("--"), suffix, F.lit(".md"))
+
+
 def suffixed_path(path: Column, final_url: Column) -> Column:
     """``dir/name.md`` → ``dir/name--<6 hex of sha256(final_url)>.md``."""
-    return F.concat(F.regexp_replace(path, r"\.md$", ""), F.lit("--"), short_hash(final_url), F.lit(".md"))
+    return with_suffix(path, short_hash(final_url))
 
 
 def trailing_slash_normalized(df: DataFrame, src: str, out: str) -> DataFrame:

@@ -261,6 +261,81 @@ SELECT crawl_id, 'https://docs.example.com/guide/p' || partkey AS url, CAST(dept
 FROM reach
 """
 
+
+
+def fifo_queue(cap: int, depth: int | None) -> str:
+    """The crawl queue in FIFO order: the part site's pages, their first enqueuer and sequence number.
+
+    Each recursion is one wave: links of pages under the cap, first enqueuer by (source, position).
+    """
+    limit = f"AND r.depth + 1 <= {depth}" if depth is not None else ""
+    return f"""
+WITH RECURSIVE edges AS (
+  SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS pos FROM (
+    SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst
+    FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)
+),
+q(crawl_id, partkey, seq, depth, src_seq) USING KEY (crawl_id, partkey) AS (
+  SELECT crawl_id, partkey, 0::BIGINT, 0, -1::BIGINT
+  FROM (VALUES (1::BIGINT, 1::BIGINT), (2::BIGINT, 2::BIGINT)) s(crawl_id, partkey)
+  UNION
+  SELECT n.crawl_id, n.dst, b.base + row_number() OVER (PARTITION BY n.crawl_id ORDER BY n.first), n.depth, n.first.s
+  FROM (
+    SELECT r.crawl_id, e.dst, min({{'s': r.seq, 'p': e.pos}}) AS first,
+      arg_min(r.depth + 1, {{'s': r.seq, 'p': e.pos}}) AS depth
+    FROM q r JOIN edges e ON e.src = r.partkey
+    WHERE r.seq < {cap} {limit}
+      AND NOT EXISTS (SELECT 1 FROM recurring.q x WHERE x.crawl_id = r.crawl_id AND x.partkey = e.dst)
+    GROUP BY r.crawl_id, e.dst) n
+  JOIN (SELECT crawl_id, max(seq) AS base FROM recurring.q GROUP BY crawl_id) b ON b.crawl_id = n.crawl_id
+)"""
+
+
+CRAWL_CAPPED = f"""{fifo_queue(500, 3)}
+SELECT crawl_id, seq, 'https://docs.example.com/guide/p' || partkey AS url, CAST(depth AS INTEGER) AS depth,
+  'success' AS status, 'guide/p' || partkey || '.md' AS output_path
+FROM q WHERE seq < 500
+"""
+
+QUEUED_LINKS = f"""{fifo_queue(100, None)}
+SELECT c.crawl_id, c.src_seq, 'https://docs.example.com/guide/p' || p.partkey AS src_url, count(*) AS queued
+FROM q c JOIN q p ON p.crawl_id = c.crawl_id AND p.seq = c.src_seq
+WHERE c.src_seq >= 0 GROUP BY ALL
+"""
+
+SITEMAP_ORDER = """
+WITH RECURSIVE files AS (
+  SELECT DISTINCT n_regionkey AS r, c_mktsegment AS seg, CAST(floor(c_custkey / 50000) AS BIGINT) AS chunk
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+),
+listed AS (
+  SELECT n_regionkey AS r, 'root' AS doc, n_nationkey AS rank, '' AS seg, 0::BIGINT AS chunk, 'n' || n_nationkey AS child FROM nation
+  UNION ALL SELECT r, 'root', 1 << 20, seg, chunk, seg || chunk FROM files
+  UNION ALL
+  SELECT n_regionkey, 'n' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 2 END, '', 0,
+    coalesce('n' || lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), 'root') FROM nation
+  UNION ALL
+  SELECT n_regionkey, 'n' || n_nationkey, 1, seg, chunk, seg || chunk
+  FROM nation JOIN files ON r = n_regionkey WHERE (length(seg) + n_nationkey) % 3 = 0
+),
+entries AS (SELECT r, doc, child, row_number() OVER (PARTITION BY r, doc ORDER BY rank, seg, chunk) AS pos FROM listed),
+ways(r, doc, key, trail) AS (
+  SELECT r_regionkey, 'root', []::BIGINT[], ['root'] FROM region
+  UNION ALL
+  SELECT w.r, e.child, list_append(w.key, e.pos), list_append(w.trail, e.child)
+  FROM ways w JOIN entries e ON e.r = w.r AND e.doc = w.doc WHERE NOT list_contains(w.trail, e.child)
+),
+opened AS (SELECT r, doc, min(key) AS key FROM ways GROUP BY r, doc)
+SELECT CAST(n_regionkey AS BIGINT) AS crawl_id,
+  CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY o.key, c_custkey) AS BIGINT) AS seq,
+  'https://r' || n_regionkey || '.example.com/docs/c' || c_custkey AS url, 1 AS depth
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+JOIN opened o ON o.r = n_regionkey AND o.doc = c_mktsegment || CAST(floor(c_custkey / 50000) AS BIGINT)
+UNION ALL
+SELECT CAST(r_regionkey AS BIGINT), CAST(0 AS BIGINT), 'https://r' || r_regionkey || '.example.com/docs/start', 0
+FROM region
+"""
+
 SITEMAP_EXPAND = """
 WITH listed AS (
   SELECT CAST(n.n_regionkey AS BIGINT) AS crawl_id, n.n_nationkey, c.c_custkey
@@ -313,6 +388,31 @@ WITH {_ORDER_WAVE}
 SELECT crawl_id, seq, url, final_url, status, CAST(http_status AS INTEGER) AS http_status, error FROM cls
 """
 
+FINAL_URL_DEDUP_WAVES = """
+WITH w AS (
+  SELECT o_orderkey, o_orderstatus AS st, o_orderpriority AS prio, CAST(year(o_orderdate) AS BIGINT) AS crawl_id,
+    CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0 ELSE 1 END AS wave,
+    CASE WHEN o_orderstatus = 'F' THEN 'https://shop.example.com/login'
+         ELSE 'https://shop.example.com/customers/' || o_custkey END AS fin
+  FROM orders
+),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY crawl_id ORDER BY wave, o_orderkey) - 1 AS BIGINT) AS seq,
+    'https://shop.example.com/orders/' || o_orderkey AS url, st = 'P' AND prio IN ('1-URGENT', '2-HIGH') AS net,
+    CASE prio WHEN '5-LOW' THEN 404 WHEN '4-NOT SPECIFIED' THEN 503 ELSE 200 END AS http
+  FROM w
+),
+d AS (SELECT *, row_number() OVER (PARTITION BY crawl_id, net, fin ORDER BY seq) > 1 AS again FROM r)
+SELECT crawl_id, seq, wave, url, CASE WHEN net THEN url ELSE fin END AS final_url,
+  CASE WHEN net THEN 'error_network' WHEN again THEN 'skipped_filtered' WHEN http >= 400 THEN 'error_http'
+       WHEN st = 'P' THEN 'skipped_filtered' ELSE 'fetched' END AS status,
+  CASE WHEN NOT net THEN http END AS http_status,
+  CASE WHEN net THEN CASE WHEN prio = '1-URGENT' THEN 'ECONNRESET' ELSE 'no captured response' END
+       WHEN again THEN 'duplicate_final_url' WHEN http >= 400 THEN 'HTTP ' || http
+       WHEN st = 'P' THEN 'non_html:application/pdf' END AS error
+FROM d
+"""
+
 STATUS_SUMMARY = f"""
 WITH {_ORDER_WAVE}
 SELECT crawl_id, count(*) AS total, count(*) FILTER (WHERE status = 'fetched') AS fetched,
@@ -386,8 +486,12 @@ REGISTRY = {
     "output_paths": OUTPUT_PATHS,
     "heading_anchors": HEADING_ANCHORS,
     "crawl_reachability": CRAWL_REACHABILITY,
+    "crawl_capped": CRAWL_CAPPED,
+    "queued_links": QUEUED_LINKS,
     "sitemap_expand": SITEMAP_EXPAND,
+    "sitemap_order": SITEMAP_ORDER,
     "final_url_dedup": FINAL_URL_DEDUP,
+    "final_url_dedup_waves": FINAL_URL_DEDUP_WAVES,
     "status_summary": STATUS_SUMMARY,
     "attempt_resolution": ATTEMPT_RESOLUTION,
     "stream_admit": STREAM_ADMIT,

@@ -129,10 +129,7 @@ def heading_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- crawls over the part site ------------------------------------------------
 
-NO_CAP = 2_147_483_647
-
-
-def _part_crawls(spark: SparkSession, max_pages: int, depth: int | None) -> DataFrame:
+def _part_crawls(spark: SparkSession, max_pages: int | None, depth: int | None) -> DataFrame:
     """Two crawls of the part site in one job: seed p1 (path scope), seed p2 (domain scope)."""
     rows = [(1, S.SITE + "/guide/p1", False, depth, max_pages, False, [], [], None),
             (2, S.SITE + "/guide/p2", True, depth, max_pages, False, [], [], None)]
@@ -142,7 +139,7 @@ def _part_crawls(spark: SparkSession, max_pages: int, depth: int | None) -> Data
 def crawl_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .crawl import crawl
 
-    out = crawl(_part_crawls(spark, NO_CAP, None), S.part_site(spark, sf_dir))
+    out = crawl(_part_crawls(spark, None, None), S.part_site(spark, sf_dir))
     return out.page_results.select("crawl_id", "url", F.col("depth").cast("int").alias("depth"), "status",
                                    "output_path")
 
@@ -155,6 +152,21 @@ def crawl_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.page_results.select("crawl_id", "seq", "url", "depth", "status", "output_path")
 
 
+def queued_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newly queued links per processed page of a crawl that stops after 100 pages, most of its queue unprocessed."""
+    from .crawl import crawl, queued_counts
+
+    return queued_counts(crawl(_part_crawls(spark, 100, None), S.part_site(spark, sf_dir)))
+
+
+def sitemap_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemap URLs in depth-first order over indexes that list one another, share files and form a cycle."""
+    from .crawl import discover
+
+    w0 = discover(S.sitemap_crawls(spark, sf_dir), S.sitemap_dag_site(spark, sf_dir))
+    return w0.select("crawl_id", "seq", "url", F.col("depth").cast("int").alias("depth"))
+
+
 def sitemap_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .crawl import discover
 
@@ -202,6 +214,37 @@ def final_url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_wave(spark, sf_dir).select("crawl_id", "seq", "url", "final_url", "status", "http_status", "error")
 
 
+def final_url_dedup_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two waves per order year, urgent and high orders first; all filled orders redirect to one login page."""
+    from ..session import new_run_dir
+    from ..operators.fetch_status import claimed_finals
+    from .snapshot import keyed_responses, winners
+
+    run = new_run_dir(spark, "waves")
+    responses = order_responses(spark, sf_dir)
+    filled = read_table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F").select(
+        F.concat(F.lit(SHOP + "/orders/"), F.col("o_orderkey").cast("string")).alias("url"), F.lit(True).alias("filled"))
+    responses = responses.join(filled, "url", "left").withColumn(
+        "final_url", F.when(F.col("filled"), F.lit(SHOP + "/login")).otherwise(F.col("final_url"))).drop("filled")
+    meta = narrow_meta(winners(keyed_responses(responses)))
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    later = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 0).otherwise(1)
+    queue = o.select(
+        F.year("o_orderdate").cast("long").alias("crawl_id"), later.alias("wave"), "o_orderkey",
+        F.concat(F.lit(SHOP + "/orders/"), F.col("o_orderkey").cast("string")).alias("url"),
+    )
+    bucket = F.col("wave") * F.lit(1 << 40) + F.floor(F.col("o_orderkey") / 65536)
+    queue = dense_sequence(queue, ["crawl_id"], ["wave", "o_orderkey"], bucket, "seq")
+    queue.select("crawl_id", "seq", "url", "wave").write.parquet(f"{run}/queue")
+    queue = spark.read.parquet(f"{run}/queue")
+    prior = None
+    for wave in (0, 1):
+        classify(queue.filter(F.col("wave") == wave), meta, prior).write.parquet(f"{run}/results/w={wave}")
+        prior = claimed_finals(spark.read.parquet(f"{run}/results/w={wave}"))
+    return spark.read.parquet(f"{run}/results").select(
+        "crawl_id", "seq", F.col("wave").cast("int").alias("wave"), "url", "final_url", "status", "http_status", "error")
+
+
 def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = F.col("status")
     return _order_wave(spark, sf_dir).groupBy("crawl_id").agg(
@@ -273,14 +316,14 @@ def single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One domain crawl per host of ``pages``, seeded at its first page, default page cap."""
+    """One domain crawl per host of ``pages``, seeded at its first page, without a page cap."""
     from .crawl import crawl
 
     seeds = _pages(spark, sf_dir).groupBy(U.url_host(F.col("page_url")).alias("host")).agg(
         F.min_by("page_url", "page_id").alias("seed_url"))
     crawls = seeds.select(
         F.xxhash64("host").alias("crawl_id"), "seed_url", F.lit(True).alias("domain"),
-        F.lit(None).cast("int").alias("depth"), F.lit(500).alias("max_pages"), F.lit(False).alias("sitemap"),
+        F.lit(None).cast("int").alias("depth"), F.lit(None).cast("int").alias("max_pages"), F.lit(False).alias("sitemap"),
         F.array().cast("array<string>").alias("include"), F.array().cast("array<string>").alias("exclude"),
         F.lit(None).cast("string").alias("lang"),
     )
@@ -303,7 +346,7 @@ def stream_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = _pages(spark, sf_dir).select(U.url_origin(F.col("page_url")).alias("origin")).distinct()
     crawls = hosts.select(
         F.xxhash64("origin").alias("crawl_id"), F.concat("origin", F.lit("/")).alias("seed_url"),
-        F.lit(True).alias("domain"), F.lit(None).cast("int").alias("depth"), F.lit(NO_CAP).alias("max_pages"),
+        F.lit(True).alias("domain"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("int").alias("max_pages"),
         F.lit(False).alias("sitemap"), F.array().cast("array<string>").alias("include"),
         F.array().cast("array<string>").alias("exclude"), F.lit(None).cast("string").alias("lang"),
     )
@@ -326,8 +369,11 @@ REGISTRY = {
     "heading_anchors": heading_anchors,
     "crawl_reachability": crawl_reachability,
     "crawl_capped": crawl_capped,
+    "queued_links": queued_links,
     "sitemap_expand": sitemap_expand,
+    "sitemap_order": sitemap_order,
     "final_url_dedup": final_url_dedup,
+    "final_url_dedup_waves": final_url_dedup_waves,
     "status_summary": status_summary,
     "attempt_resolution": attempt_resolution,
     "extract_pages": extract_pages,
