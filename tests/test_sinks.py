@@ -2,6 +2,7 @@ import glob
 import json
 import os
 
+import pytest
 from crawl_fixtures import HTML, one_crawl, page, responses
 
 from wavecrawl.operators.sinks import export_page_files, page_documents, write_corpus
@@ -14,10 +15,10 @@ G = "https://docs.example.com/guide/"
 def _site(spark):
     return responses(spark, [
         (G + "intro", G + "intro", 200, HTML,
-         page("Intro", "This page has enough words to appear in single file output successfully.",
+         page("Intro", "Kilns are fired on Mondays, and glazed bowls cool slowly until Thursday.",
               '<a href="/guide/intro-2">Second</a><a href="/guide/missing">gone</a>')),
         (G + "intro-2", G + "intro-2", 200, HTML,
-         page("Intro", "This second page intentionally uses the same heading so anchors need deduplication.")),
+         page("Intro", "Clay from the river bank is washed, sieved and left to dry.")),
     ])
 
 
@@ -36,7 +37,7 @@ def test_write_corpus_pages_and_manifest(spark):
     assert "content" not in results.columns and results.count() == 3
     files_root = new_run_dir(spark, "files")
     export_page_files(page_documents(out.page_results), files_root)
-    text = open(os.path.join(files_root, "1", "guide", "intro.md"), encoding="utf-8").read()
+    text = open(os.path.join(files_root, "pages", "1", "guide", "intro.md"), encoding="utf-8").read()
     assert text.startswith('---\ntitle: "Intro"\n') and "sourceUrl: " in text
 
 
@@ -48,3 +49,26 @@ def test_write_corpus_single_file(spark):
     doc = "".join(open(p, encoding="utf-8").read() for p in parts)
     assert doc.startswith("# docs.example.com\n")
     assert doc.index("- [Intro](#intro)") < doc.index("- [Intro](#intro-2)") < doc.index('<a id="intro"></a>')
+
+
+def _files(root):
+    return sorted(os.path.relpath(f, root) for f in glob.glob(f"{root}/**", recursive=True) if os.path.isfile(f))
+
+
+def test_page_files_commit_rerun_and_failure(spark):
+    root = new_run_dir(spark, "page-files")
+    rows = [(1, f"a/p{k}.md", f"text {k}") for k in range(20)] + [(2, "../up.md", "é"), (2, "empty.md", None)]
+    docs = spark.createDataFrame(rows, "crawl_id long, output_path string, markdown string").repartition(4)
+    export_page_files(docs, root, run="one")
+    want = sorted([f"1/a/p{k}.md" for k in range(20)] + ["2/%2E%2E/up.md", "2/empty.md", "_SUCCESS"])
+    assert _files(f"{root}/one") == want
+    assert json.load(open(f"{root}/one/_SUCCESS")) == {"files": 22, "bytes": sum(len((m or "").encode()) for _, _, m in rows)}
+    export_page_files(docs.limit(1).selectExpr("crawl_id", "'new.md' output_path", "'x' markdown"), root, run="two")
+    export_page_files(docs.selectExpr("crawl_id", "output_path", "concat('again ', markdown) markdown"), root, run="one")
+    assert _files(f"{root}/one") == want and open(f"{root}/one/1/a/p3.md").read() == "again text 3"
+    assert "new.md" in _files(f"{root}/two")[0]
+    # the task that holds p7 fails after other rows of it were written: none of its files is visible
+    broken = docs.coalesce(1).selectExpr("crawl_id", "output_path", "if(output_path = 'a/p7.md', raise_error('lost'), markdown) markdown")
+    with pytest.raises(Exception, match="lost"):
+        export_page_files(broken, root, run="three")
+    assert _files(f"{root}/three") == []

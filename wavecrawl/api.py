@@ -41,8 +41,8 @@ def extract_page_urls(responses: DataFrame) -> DataFrame:
 
 
 def extract_pages(responses: DataFrame, min_words: int = _x.MIN_WORDS) -> DataFrame:
-    """Captured responses → page results without crawling (depth 0, no scope)."""
-    return _x.extract_pages(_snapshot(responses, want_content=True, want_links=False), min_words)
+    """Captured responses → one page result per capture, without crawling (depth 0, no scope)."""
+    return _x.extract_pages(responses, min_words)
 
 
 render_pages = page_markdown

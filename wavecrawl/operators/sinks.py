@@ -1,8 +1,8 @@
 """Corpus sinks: page documents, merged documents, manifest.
 
 * pages    – parquet table ``(crawl_id, output_path, markdown)`` of every
-  success; ``export_page_files`` writes one file per row under a shared root
-  (Spark writers cannot name a file per row).
+  success; ``export_page_files`` writes one file per row (Spark's own writers
+  cannot name a file per row) through a data source writer with commits.
 * merged   – text files per crawl (``crawl_id=<id>/part-*``): the ordered lines
   are range-partitioned on (crawl_id, part, seq, line) and sorted within
   partitions, so concatenating a crawl's part files in name order gives its
@@ -13,8 +13,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +29,16 @@ def write_pages(page_results: DataFrame, path: str) -> None:
     page_documents(page_results).write.mode("overwrite").partitionBy("crawl_id").parquet(path)
 
 
-def export_page_files(docs: DataFrame, root: str) -> None:
-    """One Markdown file per page at ``root/<crawl_id>/<output_path>`` (root must be shared storage)."""
-
-    def write_partition(rows):
-        for r in rows:
-            target = os.path.join(root, str(r["crawl_id"]), r["output_path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(target, "w", encoding="utf-8") as fh:
-                fh.write(r["markdown"])
+def export_page_files(docs: DataFrame, root: str, run: str = "pages") -> None:
+    """One Markdown file per page at ``root/<run>/<crawl_id>/<output_path>``, see ``sources/page_files.py``."""
+    from ..session import ship_package
+    from ..sources.page_files import PageFiles
 
-    docs.foreachPartition(write_partition)
+    spark = docs.sparkSession
+    ship_package(spark)
+    spark.dataSource.register(PageFiles)
+    own = docs.select(F.col("crawl_id").cast("string").alias("crawl_id"), "output_path", "markdown")
+    own.write.format("page_files").mode("append").option("run", run).save(root)
 
 
 def write_merged(page_results: DataFrame, scopes: DataFrame, path: str) -> None:

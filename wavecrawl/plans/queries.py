@@ -287,12 +287,7 @@ def attempt_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- extraction and rendering over the captured pages -------------------------
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..session import new_run_dir
-    from .snapshot import prepare_snapshot
-
-    snap = prepare_snapshot(responses_from_pages(read_table(spark, sf_dir, "pages")), new_run_dir(spark, "extract"),
-                            want_links=False)
-    return X.extract_pages(snap)
+    return X.extract_pages(responses_from_pages(read_table(spark, sf_dir, "pages")))
 
 
 def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,8 +301,9 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged document lines, one document per host; pages in page_id order."""
-    ids = _pages(spark, sf_dir).groupBy(F.col("page_url").alias("url")).agg(F.min("page_id").alias("page_id"))
-    e = _extracted(spark, sf_dir).join(ids, "url").withColumn("crawl_id", U.url_host(F.col("final_url")))
+    # The capture time of a page is its id (see responses_from_pages).
+    page_id = F.unix_timestamp("crawled_at") - 1_700_000_000
+    e = _extracted(spark, sf_dir).withColumn("page_id", page_id).withColumn("crawl_id", U.url_host(F.col("final_url")))
     e = dense_sequence(e, ["crawl_id"], ["page_id"], F.floor(F.col("page_id") / 65536), "seq")
     scopes = e.groupBy("crawl_id").agg(F.min("final_url").alias("seed"))
     return R.merged_lines(e, scopes).select("crawl_id", "part", "seq", "line", "text")
