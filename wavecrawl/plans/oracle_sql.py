@@ -476,6 +476,12 @@ SELECT r.host, r.url, CAST(r.depth AS INTEGER) AS depth,
 FROM reach r LEFT JOIN captured c ON c.url = r.url
 """
 
+PAGE_FILES = """
+SELECT CAST(floor(doc_id / 1000) AS BIGINT) || '/d/' || doc_id || '.md' AS name,
+  CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS sha256
+FROM documents
+"""
+
 REGISTRY = {
     "normalize_urls": NORMALIZE_URLS,
     "derive_scopes": DERIVE_SCOPES,
@@ -494,6 +500,7 @@ REGISTRY = {
     "final_url_dedup_waves": FINAL_URL_DEDUP_WAVES,
     "status_summary": STATUS_SUMMARY,
     "attempt_resolution": ATTEMPT_RESOLUTION,
+    "page_files": PAGE_FILES,
     "stream_admit": STREAM_ADMIT,
     "pages_crawl": PAGES_CRAWL,
 }

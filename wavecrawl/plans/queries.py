@@ -299,6 +299,23 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.page_markdown(_extracted(spark, sf_dir)).select("url", "markdown")
 
 
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written as a page file of its own, and the files read back."""
+    from ..operators.sinks import export_page_files
+    from ..session import new_run_dir
+
+    root = new_run_dir(spark, "page-files")
+    d = read_table(spark, sf_dir, "documents")
+    docs = d.select(F.floor(F.col("doc_id") / 1000).alias("crawl_id"),
+                    F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("output_path"),
+                    F.col("text").alias("markdown"))
+    export_page_files(docs, root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(
+        f"{root}/pages")
+    name = F.regexp_extract("path", r"/pages/(\d+/d/\d+\.md)$", 1)
+    return files.select(name.alias("name"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged document lines, one document per host; pages in page_id order."""
     # The capture time of a page is its id (see responses_from_pages).
@@ -375,6 +392,7 @@ REGISTRY = {
     "extract_pages": extract_pages,
     "page_markdown": page_markdown,
     "single_file": single_file,
+    "page_files": page_files,
     "pages_crawl": pages_crawl,
     "stream_admit": stream_admit,
 }
