@@ -51,3 +51,14 @@ def test_temperature_calibrates():
     m = L.train(rows)
     p = L._softmax((m.table[[0, 1]] + m.bias) / m.temperature)
     assert 0.7 < p[0].max() < 0.9 and 0.7 < p[1].max() < 0.9
+
+
+def test_texts_of_one_subword():
+    """Steps stay bounded if a text is a single subword, and packing keeps buckets and weights."""
+    rows = [("ab"[k % 2], np.array([k % 2]), np.array([1.0])) for k in range(300)]
+    m = L.train(rows)
+    assert np.isfinite(m.table).all() and m.table[0].argmax() == 0 and m.table[1].argmax() == 1
+    where, weight = L._unpacked(L._features("Der Fluss, the river"))
+    counts = np.bincount(L.subwords("Der Fluss, the river"), minlength=L.BUCKETS)
+    assert where.tolist() == np.flatnonzero(counts).tolist() and abs(float(weight.sum()) - 1) < 1e-5
+    assert L._features(" 12 .") == b""

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, hashed_sample, per_text, table
+from .common import fold_of, hashed_sample, per_text, staged, table
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -59,12 +59,23 @@ def subwords(text: str) -> np.ndarray:
     return np.concatenate(found).astype(np.int64)
 
 
-def _features(text: str) -> tuple[list[int], list[float]]:
+_PACKED = np.dtype([("bucket", "<u2"), ("weight", "<f4")])
+
+
+def _features(text: str) -> bytes:
+    """The text's buckets and weights, six bytes each, in bucket order."""
     if not _LETTER.search(text):
-        return [], []
+        return b""
     counts = np.bincount(subwords(text), minlength=BUCKETS)
     at = np.flatnonzero(counts)
-    return at.tolist(), (counts[at] / counts.sum()).tolist()
+    packed = np.empty(len(at), _PACKED)
+    packed["bucket"], packed["weight"] = at, counts[at] / counts.sum()
+    return packed.tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    packed = np.frombuffer(data, _PACKED)
+    return packed["bucket"], packed["weight"]
 
 
 @dataclass
@@ -114,9 +125,12 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
             back = out @ g
             out -= rate * np.outer(x, g)
             bias -= 0.05 * rate * g
-            # the mean's gradient is small for each row: as many times larger a step
-            emb[where] -= (rate * 20) * weight[:, None] * back
+            # the mean's gradient is small for each row: as many times larger a step, but never one that
+            # moves the mean by more than the plain gradient would (texts of one subword)
+            emb[where] -= (rate * min(20.0, 1.0 / float(weight @ weight))) * weight[:, None] * back
     share = (emb @ out).astype(np.float32)
+    if not np.isfinite(share).all():
+        raise ArithmeticError("training diverged")
     logits = np.array([w @ share[b] + bias for _, b, w in apart])
     truth = np.array([code[r[0]] for r in apart])
     grid = np.geomspace(0.05, 20, 60)
@@ -133,15 +147,17 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
 def learn(docs: DataFrame, allowed: Column, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from at most ``MAX_TRAIN_DOCS`` rows where ``allowed`` holds and the language is set.
 
-    Only the sample's subword weights (at most ``BUCKETS`` pairs a text) reach the driver.
+    Only the sample's subword weights reach the driver, packed to six bytes a pair (at most
+    ``BUCKETS`` pairs a text), one partition after the other; texts repeat in one order whatever the partitions.
     """
     named = docs.where(allowed & F.col(lang_col).isNotNull())
     sample = hashed_sample(named.select("doc_id", text_col, lang_col), MAX_TRAIN_DOCS)
-    got = sample.select(
-        F.col(lang_col).alias("lang"), per_text(F.col(text_col), _features, "buckets array<int>, weights array<double>").alias("x")
-    ).select("lang", "x.buckets", "x.weights").toPandas()
-    rows = [(k, np.asarray(b, np.int64), np.asarray(w, np.float64)) for k, b, w in got.itertuples(index=False)]
-    return train(sorted(rows, key=lambda r: (r[0], len(r[1]), r[1][:9].tolist(), r[2][:9].tolist())))
+    packed = per_text(F.col(text_col), lambda t: (_features(t),), "data binary")
+    got = sample.select(F.col(lang_col).alias("lang"), packed["data"].alias("data"))
+    got = staged(got, "langid-sample")
+    # a bounded sample; partitions are fetched one by one
+    rows = sorted((r.lang, bytes(r.data)) for r in got.toLocalIterator())
+    return train([(lang, *_unpacked(data)) for lang, data in rows])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
