@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 
 from wavecrawl.llm import jaccard_join as J
 
@@ -88,10 +89,34 @@ def test_rows(spark):
     assert J.join(d.limit(0)).count() == 0
 
 
-def test_fine_bound_covers_the_overlap():
-    r = np.random.default_rng(4)
-    for _ in range(200):
-        a = np.unique(r.integers(-(1 << 63), 1 << 63, r.integers(1, 3000), dtype=np.int64))
-        b = np.unique(np.concatenate([r.choice(a, r.integers(0, len(a) + 1)), r.integers(-(1 << 63), 1 << 63, r.integers(1, 500), dtype=np.int64)]))
-        va, vb = (J.count_vector(x, J.fine_groups(len(x))).tobytes() for x in (a, b))
-        assert len(np.intersect1d(a, b)) <= J.fine_bound(va, vb)
+def test_rare_shingles_come_first():
+    rare, common = np.array([3, 9], np.int64), np.array([1, 5, 7], np.int64)
+    ranks = np.zeros(J.SLOTS, np.uint8)
+    ranks[J.slots_of(common)] = 8
+    s = np.sort(np.concatenate([rare, common]))
+    frame = pd.DataFrame({"id": [4], "n": [5], "shingles": [s.tobytes()]})
+    (got,) = J._prefixes(ranks)(iter([frame]))
+    assert got["prefix"][0].tolist() == [3, 9]
+
+
+def test_large_blocks_are_cut(spark, monkeypatch):
+    """Tiles of a few classes give the links, components and counts of whole blocks."""
+    r = random.Random(3)
+    rows = []
+    for size in (40, 70, 100):
+        base = [f"w{r.randrange(3000)}" for _ in range(size)]
+        for _ in range(30):
+            own = list(base)
+            own[r.randrange(size)] = f"e{r.randrange(9999)}"
+            rows.append(" ".join(own + [f"t{r.randrange(99)}" for _ in range(r.randrange(size // 20))]))
+    rows += ["shared passage of a great many words " * 2 + f"x{k} y{k} z{k} v{k} u{k} o{k} p{k}" for k in range(60)]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    monkeypatch.setattr(J, "TILE", 7)
+    monkeypatch.setattr(J, "BUDGET", 600)
+    got = J.links(d)
+    sets = [set(J.shingle_set(t).tolist()) for t in rows]
+    want = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(want) > 300
+    assert sorted(map(tuple, got.pairs.collect())) == sorted(want)
+    assert {m.doc_id: m.n_links for m in got.members.collect()} == {i: sum(i in p for p in want) for i in range(len(rows))}
+    assert {tuple(x) for x in J.join(d).collect()} == brute(list(enumerate(rows)))

@@ -5,30 +5,35 @@ case; with fewer words the whole sequence is one shingle; without words the set
 links with nothing). Two sets link when 100 * intersection >= 75 * union.
 
 1. Equal sets form a class, held by its smallest doc_id: copies are never paired.
-2. Sets that link share one of their first ``n - ceil(0.75 n) + 1`` shingles in hash order.
-   Each class is put into the block of the smallest class that has such a shingle of its own;
-   so two that link meet in the block of the smallest holder of their shared shingle.
-3. Every member is held against its block's smallest class, as in 5.
-4. In blocks of more than two, an R-tree over count vectors (shingles hashed into ``GROUPS``
-   groups, counts capped into bytes from above) finds all other pairs: the overlap with a point
-   or a box is at most the sum of coordinate minima, and a pair can only link if this reaches
-   3/7 of the summed sizes. Blocks are cut into tiles of ``TILE`` by ``TILE`` classes, so no task
-   holds a whole large block.
-5. Surviving pairs must pass the same bound on finer vectors, of one group for at most ``FINE``
-   shingles on average (the tree's are folded from them). A pair met in several tiles is kept in
-   the first of them by hash, and is verified there on whole sets, which travel once for each
-   text of about ``VERIFIED`` pairs.
-
-The join's output is every link between two classes, and each row's class, component (from
-smallest-label spreading over the links) and number of links.
+2. Shingles are ordered by how many there are in their slot of a table of ``SLOTS`` counts over
+   all classes, then by hash. Sets that link share one of their first ``n - ceil(0.75 n) + 1``
+   shingles in any order; in this one, passages that many documents share come last and make no
+   block. A class is in the block of the smallest class that has such a shingle of its own, so
+   two that link meet in the block of the smallest holder of their shared shingle.
+3. Blocks of up to ``TILE`` classes and ``BUDGET`` shingles are dealt to groups of about
+   ``BUDGET``. Larger ones are cut by set size, in steps of ``STEP``, and by hash into packed
+   tiles of that bound; only tiles of the same or the next step meet, as sizes of sets that link
+   differ by a third at most. So no task holds a whole large block.
+4. In a group or pair of tiles, an R-tree over count vectors (shingles hashed into ``GROUPS``
+   groups, counts capped into bytes from above) finds the pairs: the overlap with a point or a
+   box is at most the sum of coordinate minima, and a pair can only link if this reaches 3/7 of
+   the summed sizes. Those that pass are verified there on whole sets.
+5. A pair of several blocks counts in the smallest alone. Of each tile come its classes with
+   their number of links and the smallest class they are connected to, never the links as rows.
+
+The join's output is each row's class, component (from smallest-label spreading) and number of
+links. ``Links.pairs`` gives every link between two classes as rows to those who read it: in a
+group of near copies their number grows with its square.
 
 Null and empty texts get n_shingles 0 and their own id. Rows that repeat a doc_id are one
-document each, with the same id. Rows with a null doc_id come back with a null component and
-link nothing. Extra columns are ignored. Shingles are told apart by 64-bit hashes.
+document each, with the same id; if their texts differ, the id has the links of all of them. Rows
+with a null doc_id come back with a null component and link nothing. Extra columns are ignored.
+Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,12 +43,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_or_plain, staged, table, without_ids
+from .common import BROADCAST_BYTES, small_or_plain, staged, table, without_ids
 
 GROUPS = 64
-TILE = 1000
-FINE = 4  # shingles in a group of the finer vectors, at most, on average
-VERIFIED = 5000  # candidate pairs verified together, on average
+TILE = 1000  # classes in a tile, on average
+BUDGET = 1 << 18  # shingles in a tile, on average
+STEP = 1.4  # sizes of a tile differ by less; above 4/3, so that sets that link are a step apart at most
+SLOTS = 1 << 20  # counts that order the shingles: one byte each when they are sent
+SLICE = 1 << 14  # slots that are summed together
 LEAF = 32  # points in a leaf of the R-tree
 HEAVY_SHARE = 1000  # keys with more than 1 / HEAVY_SHARE of all rows: at most so many, broadcast
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -69,29 +76,10 @@ def prefix_size(n: int) -> int:
     return n - -(-3 * n // 4) + 1 if n else 0
 
 
-def count_vector(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """Shingles in each group (a power of two of them, by the hash's first bits); 255 stands for 255 or more."""
-    shift = np.uint64(65 - groups.bit_length())
-    return np.minimum(np.bincount((hashes.view(np.uint64) >> shift).astype(np.int64), minlength=groups), 255).astype(np.uint8)
-
-
-def fine_groups(n: int) -> int:
-    """Groups of the finer vector of a set of ``n``: the least power of two of ``n / FINE`` or more."""
-    return max(GROUPS, 1 << max(0, -(-n // FINE) - 1).bit_length())
-
-
-def folded(fine: bytes) -> np.ndarray:
-    """The vector of ``GROUPS`` groups, of a finer one."""
-    return np.minimum(np.frombuffer(fine, np.uint8).reshape(GROUPS, -1).sum(axis=1, dtype=np.int64), 255).astype(np.uint8)
-
-
-def fine_bound(a: bytes, b: bytes) -> int:
-    """Largest overlap of two sets by their finer vectors; the longer one is folded to the other's groups."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    capped = max(x.max(), y.max()) == 255
-    groups = min(len(x), len(y))
-    x, y = (v.reshape(groups, -1).sum(axis=1, dtype=np.int64) for v in (x, y))
-    return np.iinfo(np.int32).max if capped else int(np.minimum(x, y).sum())
+def count_vector(hashes: np.ndarray) -> np.ndarray:
+    """Shingles in each group, by the hash's first bits; 255 stands for 255 or more."""
+    shift = np.uint64(65 - GROUPS.bit_length())
+    return np.minimum(np.bincount((hashes.view(np.uint64) >> shift).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
 
 
 def _bound(points: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -128,11 +116,71 @@ def rtree_pairs(va, na, vb, nb) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = []
-        for doc_id, text in zip(frame["doc_id"], frame["text"]):
-            s = shingle_set(text)
-            rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), s[: prefix_size(len(s))], count_vector(s, fine_groups(len(s))).tobytes()))
-        yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "prefix", "fine"])
+        sets = [shingle_set(t) for t in frame["text"]]
+        rows = [(i, len(s), xxhash.xxh3_128_digest(s.tobytes())) for i, s in zip(frame["doc_id"], sets)]
+        yield pd.DataFrame(rows, columns=["doc_id", "n", "digest"])
+
+
+def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = [(i, len(s), s.tobytes()) for i, s in zip(frame["doc_id"], map(shingle_set, frame["text"])) if len(s)]
+        yield pd.DataFrame(rows, columns=["id", "n", "shingles"])
+
+
+def slots_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _slot_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A task's counts, in slices of the narrowest integers that hold them."""
+    counts = np.zeros(SLOTS, np.int64)
+    for frame in frames:
+        for s in frame["shingles"]:
+            np.add.at(counts, slots_of(np.frombuffer(s, np.int64)), 1)
+    if counts.any():
+        yield pd.DataFrame([(k, _narrow(counts[k * SLICE : (k + 1) * SLICE])) for k in range(SLOTS // SLICE)], columns=["slice", "counts"])
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def _summed(frame: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(SLICE, np.int64)
+    for x in frame["counts"]:
+        total += np.frombuffer(x, f"u{len(x) // SLICE}").astype(np.int64)
+    return pd.DataFrame({"slice": [frame["slice"].iloc[0]], "counts": [_narrow(total)]})
+
+
+def slot_ranks(chosen: DataFrame) -> np.ndarray:
+    """A byte for each slot that grows with the shingles of all sets in it: the counts' logarithms.
+
+    Tasks' slices are summed in two steps, so that no group holds those of all tasks. The driver
+    gets ``SLOTS`` counts whatever the input.
+    """
+    schema = "slice int, counts binary"
+    own = chosen.select("shingles").mapInPandas(_slot_counts, schema).withColumn("part", F.spark_partition_id() % 64)
+    some = own.groupBy("slice", "part").applyInPandas(_summed, schema)
+    rows = some.groupBy("slice").applyInPandas(_summed, schema).collect()
+    counts = np.zeros(SLOTS, np.int64)
+    for k, x in rows:
+        counts[k * SLICE : (k + 1) * SLICE] = np.frombuffer(x, f"u{len(x) // SLICE}")
+    return np.minimum(4 * np.log2(1 + counts), 255).astype(np.uint8)
+
+
+def _prefixes(ranks: np.ndarray):
+    """Batches of sets -> the first shingles of each, rare slots first."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for i, n, x in zip(frame["id"], frame["n"], frame["shingles"]):
+                s = np.frombuffer(x, np.int64)
+                first = np.argsort(ranks[slots_of(s)], kind="stable")  # sets are sorted by hash
+                rows.append((i, n, s[first[: prefix_size(n)]]))
+            yield pd.DataFrame(rows, columns=["id", "n", "prefix"])
+
+    return run
 
 
 def attach_least(rows: DataFrame, key: str, value: str, out: str, kind: str) -> DataFrame:
@@ -161,104 +209,147 @@ def components(edges: DataFrame, kind: str) -> DataFrame:
         labels = fresh
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, kind: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets link, of candidates (a, b, tile)."""
-    pairs = staged(pairs.groupBy("a", "b").agg(F.min("tile").alias("tile")), kind)
-    parts = max(1, -(-pairs.count() // VERIFIED))
-    pairs = pairs.select("a", "b", F.pmod("tile", F.lit(parts)).alias("part"))
-    wanted = staged(pairs.select("part", F.explode(F.array("a", "b")).alias("doc_id")).distinct(), kind)
-    ids = staged(wanted.select("doc_id").distinct(), kind)
-
-    @F.pandas_udf("array<long>")
-    def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t) for t in texts])
-
-    texts = docs.join(small_or_plain(ids, 16), "doc_id", "left_semi")
-    held = staged(texts.select("doc_id", sets("text").alias("s")).distinct(), kind)
-    sent = wanted.join(held, "doc_id").select("part", "doc_id", "s")
-    both = pairs.groupBy("part").cogroup(sent.groupBy("part"))
-    return staged(both.applyInPandas(_linked, "a long, b long"), kind)
-
-
-def _linked(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-    """The pairs that link; an id of several texts has several sets."""
-    held: dict = {}
-    for i, x in zip(sets["doc_id"], sets["s"]):
-        held.setdefault(i, []).append(np.asarray(x, np.int64))
-    keep = [
-        any(7 * len(np.intersect1d(x, y, assume_unique=True)) >= 3 * (len(x) + len(y)) for x in held[a] for y in held[b] if len(x) and len(y))
-        for a, b in zip(pairs["a"], pairs["b"])
-    ]
-    return pairs.loc[np.array(keep, bool), ["a", "b"]]
-
-
-def _bounded(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b, tile) whose sizes and finer vectors allow a link, so that whole sets travel for few."""
-
-    @F.pandas_udf("boolean")
-    def may_link(va: pd.Series, vb: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([7 * fine_bound(x, y) >= 3 * k for x, y, k in zip(va, vb, n)], dtype=bool)
-
-    sides = [reps.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("fine").alias("v" + x)) for x in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").where("4 * na >= 3 * nb AND 4 * nb >= 3 * na")
-    return both.where(may_link("va", "vb", F.col("na") + F.col("nb"))).select("a", "b", "tile").distinct()
-
-
-def _tile_pairs(frame: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs of one tile: rows of side 0 against rows of side 1 (or all against all on the diagonal)."""
-    diagonal = bool((frame["i"] == frame["j"]).iloc[0])
-    left = frame if diagonal else frame[frame["side"] == 0]
-    right = frame if diagonal else frame[frame["side"] == 1]
-    parts = [np.stack([folded(v) for v in x["fine"]]) if len(x) else np.zeros((0, GROUPS), np.uint8) for x in (left, right)]
-    fa, fb = left["fine"].to_numpy(), right["fine"].to_numpy()
-    na, nb = left["n"].to_numpy(np.int64), right["n"].to_numpy(np.int64)
-    ia, ib = left["id"].to_numpy(), right["id"].to_numpy()
-    out = []
-    for x, y in rtree_pairs(parts[0], na, parts[1], nb):
-        if diagonal:  # elsewhere the tiles' ids differ
-            keep = ia[x] < ib[y]
-            x, y = x[keep], y[keep]
-        keep = np.fromiter((7 * fine_bound(fa[p], fb[q]) >= 3 * (na[p] + nb[q]) for p, q in zip(x, y)), bool, len(x))
-        out.append(np.stack([np.minimum(ia[x], ib[y])[keep], np.maximum(ia[x], ib[y])[keep]], axis=1))
-    got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": got[:, 0], "b": got[:, 1], "tile": frame["tile"].iloc[0]})
+class _Tile:
+    """Classes of one block: ids, sets, and the other blocks that each is in."""
+
+    def __init__(self, ids, sets, blocks):
+        held = {(i, bytes(s)): b for i, s, b in zip(ids, sets, blocks)}  # a repeated row counts once
+        self.ids = np.array([i for i, _ in held], np.int64)
+        self.sets = [np.frombuffer(s, np.int64) for _, s in held]
+        self.blocks = list(held.values())
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        self.vectors = np.stack([count_vector(s) for s in self.sets])
+
+
+def tile_links(lo: int, a: _Tile, b: _Tile | None = None) -> np.ndarray:
+    """Rows (smaller id, larger id) of the links between ``a`` and ``b``, or within ``a``, that count in block ``lo``."""
+    c = b or a
+    found = list(rtree_pairs(a.vectors, a.sizes, c.vectors, c.sizes))
+    x, y = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, int),) * 2
+    keep = a.ids[x] != c.ids[y] if b else a.ids[x] < c.ids[y]
+    x, y = x[keep], y[keep]
+    if not len(x):
+        return np.zeros((0, 2), np.int64)
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    flat = np.concatenate(c.sets)
+    known, codes = np.unique(flat, return_inverse=True)
+    starts = np.cumsum(c.sizes) - c.sizes
+    mark = np.zeros(len(known) + 1, bool)  # the last one is for shingles that ``c`` lacks
+    ok = np.zeros(len(x), bool)
+    cuts = np.flatnonzero(np.diff(x, prepend=-1))
+    for s, e in zip(cuts, [*cuts[1:], len(x)]):
+        one = a.sets[x[s]]
+        at = np.searchsorted(known, one)
+        at[known[np.minimum(at, len(known) - 1)] != one] = len(known)
+        mark[at] = True
+        common = np.add.reduceat(mark[codes], starts, dtype=np.int64)[y[s:e]]
+        ok[s:e] = 7 * common >= 3 * (len(one) + c.sizes[y[s:e]])
+        mark[at] = False
+    x, y = x[ok], y[ok]
+    low_a, low_c = ([{k for k in t.blocks[i] if k < lo} for i in range(len(t.ids))] for t in (a, c))
+    first = np.fromiter((low_a[p].isdisjoint(low_c[q]) for p, q in zip(x, y)), bool, len(x))
+    ends = np.stack([a.ids[x[first]], c.ids[y[first]]], axis=1)
+    return np.unique(np.sort(ends, axis=1), axis=0)
+
+
+def _as_pairs(ends: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame(ends, columns=["a", "b"])
+
+
+def _as_members(ends: np.ndarray) -> pd.DataFrame:
+    """Each class of the links, with their number and the smallest class connected to it here."""
+    ids, at = np.unique(ends, return_inverse=True)
+    at = at.reshape(-1, 2)
+    n = np.bincount(at.ravel(), minlength=len(ids))
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[at[:, 0]], label[at[:, 1]])
+        fresh = label.copy()
+        np.minimum.at(fresh, at[:, 0], low)
+        np.minimum.at(fresh, at[:, 1], low)
+        if (fresh == label).all():
+            return pd.DataFrame({"id": ids, "least": ids[label], "n_links": n})
+        label = fresh
+
+
+def _small_blocks(emit):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = [emit(tile_links(lo, _Tile(x["id"], x["shingles"], x["blocks"]))) for lo, x in frame.groupby("lo")]
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
+
+def _tile_pair(emit):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        one = left.iloc[0]
+        a, b = (_Tile(*zip(*((r["id"], r["shingles"], r["blocks"]) for r in x.iloc[0]))) for x in (left["held"], right["other"]))
+        return emit(tile_links(one["lo"], a, None if one["same"] else b))
+
+    return run
 
 
 class Links(NamedTuple):
-    pairs: DataFrame  # a, b: every link between two classes, by their smallest doc_ids, a < b
+    pairs: DataFrame  # a, b: every link between two classes, by their smallest doc_ids, a < b; computed when read
     members: DataFrame  # doc_id, n_shingles, class_id, component_id, n_links: one row per row of the input
 
 
+def _in_blocks(chosen: DataFrame, blocks: DataFrame, step):
+    """Function of an emitter and its schema: the emitter's rows of the links in all blocks."""
+    sizes = staged(blocks.groupBy("lo", "step").agg(F.count("*").alias("c"), F.sum("n").alias("s")), "join-sizes")
+    whole = sizes.groupBy("lo").agg(F.sum("c").alias("cc"), F.sum("s").alias("ss")).withColumn("large", (F.col("cc") > TILE) | (F.col("ss") > BUDGET))
+    tiles = F.greatest(F.ceil(F.col("c") / TILE), F.ceil(F.col("s") / BUDGET)).cast("int")
+    plan = staged(sizes.join(whole.where("large").select("lo"), "lo", "left_semi").select("lo", "step", tiles.alias("tiles")), "join-plan")
+    rest = whole.where(~F.col("large")).agg(F.sum("ss")).first()[0] or 0
+    groups = 1 + rest // BUDGET
+    per_id = staged(blocks.groupBy("id").agg(F.collect_set("lo").alias("blocks")), "join-places")
+    per_id = F.broadcast(per_id) if blocks.count() * 64 <= BROADCAST_BYTES else per_id
+    rows = chosen.join(per_id, "id").select("id", "shingles", "blocks", step, F.explode("blocks").alias("lo"))
+    rows = rows.join(small_or_plain(plan, 32), ["lo", "step"], "left")
+    small = rows.where("tiles IS NULL").withColumn("dealt", F.pmod(F.xxhash64("lo"), F.lit(groups)))
+    cut = rows.where("tiles IS NOT NULL").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    packed = staged(cut.groupBy("lo", "step", "t").agg(F.collect_list(F.struct("id", "shingles", "blocks")).alias("held")), "join-tiles")
+    there = packed.select("lo", "step", "t")  # hashing may leave a tile empty
+    near = there.select(F.col("lo").alias("l"), F.col("step").alias("st"), F.col("t").alias("u"))
+    meet = (F.col("lo") == F.col("l")) & (((F.col("step") == F.col("st")) & (F.col("t") <= F.col("u"))) | (F.col("step") + 1 == F.col("st")))
+    pairs = there.join(near, meet)
+    pairs = staged(pairs.withColumn("same", (F.col("step") == F.col("st")) & (F.col("t") == F.col("u"))), "join-meet")
+    left = packed.join(pairs, ["lo", "step", "t"]).select("lo", "step", "t", "st", "u", "same", "held")
+    right = packed.select(F.col("lo"), F.col("step").alias("st"), F.col("t").alias("u"), "held").join(pairs, ["lo", "st", "u"])
+    key = ["lo", "step", "t", "st", "u"]
+    right = right.select(*(F.col(k).alias(f"r_{k}") for k in key), F.col("held").alias("other"))
+
+    def found(emit, schema: str) -> DataFrame:
+        inside = small.select("dealt", "lo", "id", "shingles", "blocks").groupBy("dealt").applyInPandas(_small_blocks(emit), schema)
+        across = left.groupBy(*key).cogroup(right.groupBy(*(f"r_{k}" for k in key))).applyInPandas(_tile_pair(emit), schema)
+        return inside.unionByName(across)
+
+    return found
+
+
 def links(docs: DataFrame, text_col: str = "text") -> Links:
     """All links of ``docs``; ``n_links`` counts the classes that a row's class links with.
 
     A row without words is its own class and has no links; one without a doc_id has no class either.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n long, digest binary, prefix array<long>, fine binary"
+    schema = "doc_id long, n long, digest binary"
     known = staged(docs.where(F.col("doc_id").isNotNull()).mapInPandas(_describe, schema), "join-sets")
-    narrow = known.where("n > 0").select("doc_id", "n", "digest")
+    narrow = known.where("n > 0")
     classes = staged(attach_least(narrow, "digest", "doc_id", "rep", "join-classes").select("doc_id", "digest", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "join-classes")
     own = small_or_plain(staged(classes.where("doc_id = rep").select("doc_id").distinct(), "join-own"), 16)
-    chosen = known.where("n > 0").join(own, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
-    # an id of several texts has a row for each: a pair stays if any of them let it
-    reps = staged(chosen.select("id", "n", "fine").distinct(), "join-reps")
-    keys = chosen.select("id", F.explode("prefix").alias("key"))
+    chosen = staged(docs.join(own, "doc_id", "left_semi").mapInPandas(_sets, "id long, n long, shingles binary"), "join-chosen")
+    keys = chosen.mapInPandas(_prefixes(slot_ranks(chosen)), "id long, n long, prefix array<long>").select("id", "n", F.explode("prefix").alias("key"))
     least = staged(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo"), "join-keys")
     least = small_or_plain(least, 32)  # keys of one text are gone: few are left
-    blocks = staged(keys.join(least, "key").select("lo", "id").distinct(), "join-blocks")
-    spokes = blocks.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"), F.xxhash64("lo", "id").alias("tile"))
-    rest = blocks.where("id <> lo")
-    large = rest.groupBy("lo").agg(F.count("*").alias("size")).where("size > 1")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    cut = rest.join(staged(large.select("lo", tiles.alias("tiles")), "join-open"), "lo").join(reps, "id")
-    cut = cut.withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cut = cut.select("lo", "id", "n", "fine", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), (F.col("t") > F.col("u")).cast("int").alias("side"))
-    cut = cut.withColumn("tile", F.xxhash64("lo", "i", "j"))
-    pairs = cut.groupBy("lo", "i", "j").applyInPandas(_tile_pairs, "a long, b long, tile long")
-    found = _verified(_bounded(spokes, reps).unionByName(pairs), docs, "join-pairs")
-    ends = staged(found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links")), "join-counts")
-    labels = components(found, "join-labels").withColumnRenamed("id", "rep").join(ends, "rep")
+    step = F.floor(F.log(F.col("n")) / math.log(STEP)).cast("int").alias("step")
+    blocks = staged(keys.join(least, "key").select("lo", "id", step, "n").distinct(), "join-blocks")
+    found = _in_blocks(chosen, blocks, step)
+    members_found = staged(found(_as_members, "id long, least long, n_links long"), "join-found")
+    ends = staged(members_found.groupBy(F.col("id").alias("rep")).agg(F.sum("n_links").alias("n_links")), "join-counts")
+    edges = members_found.where("least < id").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    labels = components(edges, "join-labels").withColumnRenamed("id", "rep").join(ends, "rep")
     mapped = classes.join(labels, "rep", "left").select("doc_id", "digest", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("c"), "n_links")
     members = known.select("doc_id", "n", "digest").join(mapped, ["doc_id", "digest"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("c", "doc_id").alias("component_id"),
@@ -267,7 +358,7 @@ def links(docs: DataFrame, text_col: str = "text") -> Links:
     lost = docs.where(F.col("doc_id").isNull()).mapInPandas(_describe, schema)
     none = F.lit(None).cast("long")
     lost = lost.select("doc_id", F.col("n").alias("n_shingles"), none.alias("class_id"), none.alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return Links(found, members.unionByName(lost))
+    return Links(found(_as_pairs, "a long, b long"), members.unionByName(lost))
 
 
 def join(docs: DataFrame, text_col: str = "text") -> DataFrame:
