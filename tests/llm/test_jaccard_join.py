@@ -89,14 +89,22 @@ def test_rows(spark):
     assert J.join(d.limit(0)).count() == 0
 
 
+def test_fine_bound_covers_the_overlap():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        a = np.unique(r.integers(-(1 << 63), 1 << 63, r.integers(1, 3000), dtype=np.int64))
+        b = np.unique(np.concatenate([r.choice(a, r.integers(0, len(a) + 1)), r.integers(-(1 << 63), 1 << 63, r.integers(1, 500), dtype=np.int64)]))
+        va, vb = (J.count_vector(x, J.fine_groups(len(x))).tobytes() for x in (a, b))
+        assert len(np.intersect1d(a, b)) <= J.fine_bound(va, vb)
+
+
 def test_rare_shingles_come_first():
-    rare, common = np.array([3, 9], np.int64), np.array([1, 5, 7], np.int64)
+    text = "a b c d e f g h i j k l"
+    s = J.shingle_set(text)
     ranks = np.zeros(J.SLOTS, np.uint8)
-    ranks[J.slots_of(common)] = 8
-    s = np.sort(np.concatenate([rare, common]))
-    frame = pd.DataFrame({"id": [4], "n": [5], "shingles": [s.tobytes()]})
-    (got,) = J._prefixes(ranks)(iter([frame]))
-    assert got["prefix"][0].tolist() == [3, 9]
+    ranks[J.slots_of(s[:4])] = 8
+    (got,) = J._outlines(ranks)(iter([pd.DataFrame({"doc_id": [4], "text": [text]})]))
+    assert got["n"][0] == 8 and got["prefix"][0].tolist() == s[4 : 4 + J.prefix_size(8)].tolist()
 
 
 def test_large_blocks_are_cut(spark, monkeypatch):

@@ -6,7 +6,7 @@ links with nothing). Two sets link when 100 * intersection >= 75 * union.
 
 1. Equal sets form a class, held by its smallest doc_id: copies are never paired.
 2. Shingles are ordered by how many there are in their slot of a table of ``SLOTS`` counts over
-   all classes, then by hash. Sets that link share one of their first ``n - ceil(0.75 n) + 1``
+   all documents, then by hash. Sets that link share one of their first ``n - ceil(0.75 n) + 1``
    shingles in any order; in this one, passages that many documents share come last and make no
    block. A class is in the block of the smallest class that has such a shingle of its own, so
    two that link meet in the block of the smallest holder of their shared shingle.
@@ -17,7 +17,10 @@ links with nothing). Two sets link when 100 * intersection >= 75 * union.
 4. In a group or pair of tiles, an R-tree over count vectors (shingles hashed into ``GROUPS``
    groups, counts capped into bytes from above) finds the pairs: the overlap with a point or a
    box is at most the sum of coordinate minima, and a pair can only link if this reaches 3/7 of
-   the summed sizes. Those that pass are verified there on whole sets.
+   the summed sizes. First only vectors travel, finer ones of one group for at most ``FINE``
+   shingles on average (the tree's are folded from them), and classes that are in no pair of a
+   block by the finer bound leave it. Whole sets travel for the classes that stay; the tree finds
+   their pairs again, in tiles cut anew, and each is verified on whole sets.
 5. A pair of several blocks counts in the smallest alone. Of each tile come its classes with
    their number of links and the smallest class they are connected to, never the links as rows.
 
@@ -48,6 +51,7 @@ from .common import BROADCAST_BYTES, small_or_plain, staged, table, without_ids
 GROUPS = 64
 TILE = 1000  # classes in a tile, on average
 BUDGET = 1 << 18  # shingles in a tile, on average
+FINE = 4  # shingles in a group of the finer vectors, at most, on average
 STEP = 1.4  # sizes of a tile differ by less; above 4/3, so that sets that link are a step apart at most
 SLOTS = 1 << 20  # counts that order the shingles: one byte each when they are sent
 SLICE = 1 << 14  # slots that are summed together
@@ -76,10 +80,29 @@ def prefix_size(n: int) -> int:
     return n - -(-3 * n // 4) + 1 if n else 0
 
 
-def count_vector(hashes: np.ndarray) -> np.ndarray:
-    """Shingles in each group, by the hash's first bits; 255 stands for 255 or more."""
-    shift = np.uint64(65 - GROUPS.bit_length())
-    return np.minimum(np.bincount((hashes.view(np.uint64) >> shift).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
+def count_vector(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Shingles in each group (a power of two of them, by the hash's first bits); 255 stands for 255 or more."""
+    shift = np.uint64(65 - groups.bit_length())
+    return np.minimum(np.bincount((hashes.view(np.uint64) >> shift).astype(np.int64), minlength=groups), 255).astype(np.uint8)
+
+
+def fine_groups(n: int) -> int:
+    """Groups of the finer vector of a set of ``n``: the least power of two of ``n / FINE`` or more."""
+    return max(GROUPS, 1 << max(0, -(-n // FINE) - 1).bit_length())
+
+
+def folded(fine: bytes) -> np.ndarray:
+    """The vector of ``GROUPS`` groups, of a finer one."""
+    return np.minimum(np.frombuffer(fine, np.uint8).reshape(GROUPS, -1).sum(axis=1, dtype=np.int64), 255).astype(np.uint8)
+
+
+def fine_bound(a: bytes, b: bytes) -> int:
+    """Largest overlap of two sets by their finer vectors; the longer one is folded to the other's groups."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    capped = max(x.max(), y.max()) == 255
+    groups = min(len(x), len(y))
+    x, y = (v.reshape(groups, -1).sum(axis=1, dtype=np.int64) for v in (x, y))
+    return np.iinfo(np.int32).max if capped else int(np.minimum(x, y).sum())
 
 
 def _bound(points: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -115,32 +138,31 @@ def rtree_pairs(va, na, vb, nb) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each text, and at the end the task's slot counts, in slices of the narrowest integers that hold them."""
+    columns = ["doc_id", "n", "digest", "slice", "counts"]
+    total = np.zeros(SLOTS, np.int64)
     for frame in frames:
-        sets = [shingle_set(t) for t in frame["text"]]
-        rows = [(i, len(s), xxhash.xxh3_128_digest(s.tobytes())) for i, s in zip(frame["doc_id"], sets)]
-        yield pd.DataFrame(rows, columns=["doc_id", "n", "digest"])
+        rows = []
+        for i, t in zip(frame["doc_id"], frame["text"]):
+            s = shingle_set(t)
+            np.add.at(total, slots_of(s), 1)
+            rows.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes()), None, None))
+        yield pd.DataFrame(rows, columns=columns)
+    if total.any():
+        rows = [(None, None, None, k, _narrow(total[k * SLICE : (k + 1) * SLICE])) for k in range(SLOTS // SLICE)]
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = [(i, len(s), s.tobytes()) for i, s in zip(frame["doc_id"], map(shingle_set, frame["text"])) if len(s)]
-        yield pd.DataFrame(rows, columns=["id", "n", "shingles"])
+        rows = [(i, s.tobytes()) for i, s in zip(frame["doc_id"], map(shingle_set, frame["text"])) if len(s)]
+        yield pd.DataFrame(rows, columns=["id", "held"])
 
 
 def slots_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes.view(np.uint64) % np.uint64(SLOTS)).astype(np.int64)
 
 
-def _slot_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A task's counts, in slices of the narrowest integers that hold them."""
-    counts = np.zeros(SLOTS, np.int64)
-    for frame in frames:
-        for s in frame["shingles"]:
-            np.add.at(counts, slots_of(np.frombuffer(s, np.int64)), 1)
-    if counts.any():
-        yield pd.DataFrame([(k, _narrow(counts[k * SLICE : (k + 1) * SLICE])) for k in range(SLOTS // SLICE)], columns=["slice", "counts"])
-
-
 def _narrow(counts: np.ndarray) -> bytes:
     return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
 
@@ -152,15 +174,14 @@ def _summed(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": [frame["slice"].iloc[0]], "counts": [_narrow(total)]})
 
 
-def slot_ranks(chosen: DataFrame) -> np.ndarray:
+def slot_ranks(slices: DataFrame) -> np.ndarray:
     """A byte for each slot that grows with the shingles of all sets in it: the counts' logarithms.
 
-    Tasks' slices are summed in two steps, so that no group holds those of all tasks. The driver
-    gets ``SLOTS`` counts whatever the input.
+    Tasks' slices (slice, counts) are summed in two steps, so that no group holds those of all
+    tasks. The driver gets ``SLOTS`` counts whatever the input.
     """
     schema = "slice int, counts binary"
-    own = chosen.select("shingles").mapInPandas(_slot_counts, schema).withColumn("part", F.spark_partition_id() % 64)
-    some = own.groupBy("slice", "part").applyInPandas(_summed, schema)
+    some = slices.groupBy("slice", (F.xxhash64("counts") % 64).alias("part")).applyInPandas(_summed, schema)
     rows = some.groupBy("slice").applyInPandas(_summed, schema).collect()
     counts = np.zeros(SLOTS, np.int64)
     for k, x in rows:
@@ -168,17 +189,17 @@ def slot_ranks(chosen: DataFrame) -> np.ndarray:
     return np.minimum(4 * np.log2(1 + counts), 255).astype(np.uint8)
 
 
-def _prefixes(ranks: np.ndarray):
-    """Batches of sets -> the first shingles of each, rare slots first."""
+def _outlines(ranks: np.ndarray):
+    """Batches of texts -> the size of each set, its first shingles, rare slots first, and its finer vector."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for i, n, x in zip(frame["id"], frame["n"], frame["shingles"]):
-                s = np.frombuffer(x, np.int64)
+            for i, t in zip(frame["doc_id"], frame["text"]):
+                s = shingle_set(t)
                 first = np.argsort(ranks[slots_of(s)], kind="stable")  # sets are sorted by hash
-                rows.append((i, n, s[first[: prefix_size(n)]]))
-            yield pd.DataFrame(rows, columns=["id", "n", "prefix"])
+                rows.append((i, len(s), s[first[: prefix_size(len(s))]], count_vector(s, fine_groups(len(s))).tobytes()))
+            yield pd.DataFrame(rows, columns=["id", "n", "prefix", "fine"])
 
     return run
 
@@ -209,14 +230,35 @@ def components(edges: DataFrame, kind: str) -> DataFrame:
         labels = fresh
 
 
+class _Outline:
+    """Classes of one block by their finer vectors."""
+
+    def __init__(self, ids, sizes, held, blocks):
+        self.ids, self.sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
+        self.fine = list(held)
+        self.vectors = np.stack([folded(v) for v in self.fine])
+
+
+def tile_live(lo: int, a: _Outline, b: _Outline | None = None) -> pd.DataFrame:
+    """The classes of ``a`` and ``b``, or ``a`` alone, that the bounds let link with another."""
+    c = b or a
+    live = [np.zeros(len(t.ids), bool) for t in ((a, b) if b else (a,))]
+    for x, y in rtree_pairs(a.vectors, a.sizes, c.vectors, c.sizes):
+        for p, q in zip(x, y):
+            if a.ids[p] != c.ids[q] and not (live[0][p] and live[-1][q]) and 7 * fine_bound(a.fine[p], c.fine[q]) >= 3 * (a.sizes[p] + c.sizes[q]):
+                live[0][p] = live[-1][q] = True
+    ids = np.concatenate([t.ids[m] for t, m in zip((a, c), live)])
+    return pd.DataFrame({"lo": lo, "id": ids})
+
+
 class _Tile:
-    """Classes of one block: ids, sets, and the other blocks that each is in."""
+    """Classes of one block: ids, sets, and the blocks that each is in."""
 
-    def __init__(self, ids, sets, blocks):
-        held = {(i, bytes(s)): b for i, s, b in zip(ids, sets, blocks)}  # a repeated row counts once
-        self.ids = np.array([i for i, _ in held], np.int64)
-        self.sets = [np.frombuffer(s, np.int64) for _, s in held]
-        self.blocks = list(held.values())
+    def __init__(self, ids, sizes, held, blocks):
+        one = {(i, bytes(s)): b for i, s, b in zip(ids, held, blocks)}  # a repeated row counts once
+        self.ids = np.array([i for i, _ in one], np.int64)
+        self.sets = [np.frombuffer(s, np.int64) for _, s in one]
+        self.blocks = list(one.values())
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         self.vectors = np.stack([count_vector(s) for s in self.sets])
 
@@ -253,13 +295,13 @@ def tile_links(lo: int, a: _Tile, b: _Tile | None = None) -> np.ndarray:
     return np.unique(np.sort(ends, axis=1), axis=0)
 
 
-def _as_pairs(ends: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame(ends, columns=["a", "b"])
+def tile_pairs(lo: int, a: _Tile, b: _Tile | None = None) -> pd.DataFrame:
+    return pd.DataFrame(tile_links(lo, a, b), columns=["a", "b"])
 
 
-def _as_members(ends: np.ndarray) -> pd.DataFrame:
-    """Each class of the links, with their number and the smallest class connected to it here."""
-    ids, at = np.unique(ends, return_inverse=True)
+def tile_members(lo: int, a: _Tile, b: _Tile | None = None) -> pd.DataFrame:
+    """Each class of the tile's links, with their number and the smallest class connected to it here."""
+    ids, at = np.unique(tile_links(lo, a, b), return_inverse=True)
     at = at.reshape(-1, 2)
     n = np.bincount(at.ravel(), minlength=len(ids))
     label = np.arange(len(ids))
@@ -273,19 +315,23 @@ def _as_members(ends: np.ndarray) -> pd.DataFrame:
         label = fresh
 
 
-def _small_blocks(emit):
+def _small_blocks(kind, work):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [emit(tile_links(lo, _Tile(x["id"], x["shingles"], x["blocks"]))) for lo, x in frame.groupby("lo")]
+        frame = frame.sort_values("lo", kind="stable")
+        lo = frame["lo"].to_numpy()
+        columns = [frame[c].to_numpy() for c in ("id", "n", "held", "blocks")]
+        cuts = np.flatnonzero(np.diff(lo)) + 1
+        out = [work(lo[i], kind(*(c[i:j] for c in columns))) for i, j in zip([0, *cuts], [*cuts, len(lo)])]
         return pd.concat(out, ignore_index=True)
 
     return run
 
 
-def _tile_pair(emit):
+def _tile_pair(kind, work):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         one = left.iloc[0]
-        a, b = (_Tile(*zip(*((r["id"], r["shingles"], r["blocks"]) for r in x.iloc[0]))) for x in (left["held"], right["other"]))
-        return emit(tile_links(one["lo"], a, None if one["same"] else b))
+        a, b = (kind(*zip(*((r["id"], r["n"], r["held"], r["blocks"]) for r in x.iloc[0]))) for x in (left["members"], right["others"]))
+        return work(one["lo"], a, None if one["same"] else b)
 
     return run
 
@@ -295,34 +341,34 @@ class Links(NamedTuple):
     members: DataFrame  # doc_id, n_shingles, class_id, component_id, n_links: one row per row of the input
 
 
-def _in_blocks(chosen: DataFrame, blocks: DataFrame, step):
-    """Function of an emitter and its schema: the emitter's rows of the links in all blocks."""
-    sizes = staged(blocks.groupBy("lo", "step").agg(F.count("*").alias("c"), F.sum("n").alias("s")), "join-sizes")
+def _in_blocks(held: DataFrame, blocks: DataFrame, kind):
+    """Function (work, schema) -> the rows of ``work`` in all blocks (lo, id, n), on tiles made by ``kind`` of ``held`` (id, held)."""
+    step = F.floor(F.log(F.col("n")) / math.log(STEP)).cast("int").alias("step")
+    sizes = staged(blocks.groupBy("lo", step).agg(F.count("*").alias("c"), F.sum("n").alias("s")), "join-sizes")
     whole = sizes.groupBy("lo").agg(F.sum("c").alias("cc"), F.sum("s").alias("ss")).withColumn("large", (F.col("cc") > TILE) | (F.col("ss") > BUDGET))
     tiles = F.greatest(F.ceil(F.col("c") / TILE), F.ceil(F.col("s") / BUDGET)).cast("int")
     plan = staged(sizes.join(whole.where("large").select("lo"), "lo", "left_semi").select("lo", "step", tiles.alias("tiles")), "join-plan")
-    rest = whole.where(~F.col("large")).agg(F.sum("ss")).first()[0] or 0
-    groups = 1 + rest // BUDGET
-    per_id = staged(blocks.groupBy("id").agg(F.collect_set("lo").alias("blocks")), "join-places")
-    per_id = F.broadcast(per_id) if blocks.count() * 64 <= BROADCAST_BYTES else per_id
-    rows = chosen.join(per_id, "id").select("id", "shingles", "blocks", step, F.explode("blocks").alias("lo"))
+    groups = 1 + (whole.where(~F.col("large")).agg(F.sum("ss")).first()[0] or 0) // BUDGET
+    places = staged(blocks.groupBy("id", "n", step).agg(F.collect_set("lo").alias("blocks")), "join-places")
+    places = F.broadcast(places) if blocks.count() * 64 <= BROADCAST_BYTES else places
+    rows = held.join(places, "id").select("id", "n", "step", "held", "blocks", F.explode("blocks").alias("lo"))
     rows = rows.join(small_or_plain(plan, 32), ["lo", "step"], "left")
-    small = rows.where("tiles IS NULL").withColumn("dealt", F.pmod(F.xxhash64("lo"), F.lit(groups)))
+    small = rows.where("tiles IS NULL").withColumn("dealt", F.pmod(F.xxhash64("lo"), F.lit(groups))).select("dealt", "lo", "id", "n", "held", "blocks")
     cut = rows.where("tiles IS NOT NULL").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    packed = staged(cut.groupBy("lo", "step", "t").agg(F.collect_list(F.struct("id", "shingles", "blocks")).alias("held")), "join-tiles")
+    packed = staged(cut.groupBy("lo", "step", "t").agg(F.collect_list(F.struct("id", "n", "held", "blocks")).alias("members")), "join-tiles")
     there = packed.select("lo", "step", "t")  # hashing may leave a tile empty
     near = there.select(F.col("lo").alias("l"), F.col("step").alias("st"), F.col("t").alias("u"))
     meet = (F.col("lo") == F.col("l")) & (((F.col("step") == F.col("st")) & (F.col("t") <= F.col("u"))) | (F.col("step") + 1 == F.col("st")))
-    pairs = there.join(near, meet)
-    pairs = staged(pairs.withColumn("same", (F.col("step") == F.col("st")) & (F.col("t") == F.col("u"))), "join-meet")
-    left = packed.join(pairs, ["lo", "step", "t"]).select("lo", "step", "t", "st", "u", "same", "held")
-    right = packed.select(F.col("lo"), F.col("step").alias("st"), F.col("t").alias("u"), "held").join(pairs, ["lo", "st", "u"])
+    pairs = there.join(near, meet).withColumn("same", (F.col("step") == F.col("st")) & (F.col("t") == F.col("u")))
+    pairs = staged(pairs.drop("l"), "join-meet")
     key = ["lo", "step", "t", "st", "u"]
-    right = right.select(*(F.col(k).alias(f"r_{k}") for k in key), F.col("held").alias("other"))
+    left = packed.join(pairs, ["lo", "step", "t"]).select(*key, "same", "members")
+    right = packed.select("lo", F.col("step").alias("st"), F.col("t").alias("u"), "members").join(pairs, ["lo", "st", "u"])
+    right = right.select(*(F.col(k).alias(f"r_{k}") for k in key), F.col("members").alias("others"))
 
-    def found(emit, schema: str) -> DataFrame:
-        inside = small.select("dealt", "lo", "id", "shingles", "blocks").groupBy("dealt").applyInPandas(_small_blocks(emit), schema)
-        across = left.groupBy(*key).cogroup(right.groupBy(*(f"r_{k}" for k in key))).applyInPandas(_tile_pair(emit), schema)
+    def found(work, schema: str) -> DataFrame:
+        inside = small.groupBy("dealt").applyInPandas(_small_blocks(kind, work), schema)
+        across = left.groupBy(*key).cogroup(right.groupBy(*(f"r_{k}" for k in key))).applyInPandas(_tile_pair(kind, work), schema)
         return inside.unionByName(across)
 
     return found
@@ -334,19 +380,24 @@ def links(docs: DataFrame, text_col: str = "text") -> Links:
     A row without words is its own class and has no links; one without a doc_id has no class either.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n long, digest binary"
-    known = staged(docs.where(F.col("doc_id").isNotNull()).mapInPandas(_describe, schema), "join-sets")
+    schema = "doc_id long, n long, digest binary, slice int, counts binary"
+    described = staged(docs.where(F.col("doc_id").isNotNull()).mapInPandas(_describe, schema), "join-sets")
+    known = described.where("slice IS NULL").select("doc_id", "n", "digest")
     narrow = known.where("n > 0")
     classes = staged(attach_least(narrow, "digest", "doc_id", "rep", "join-classes").select("doc_id", "digest", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "join-classes")
     own = small_or_plain(staged(classes.where("doc_id = rep").select("doc_id").distinct(), "join-own"), 16)
-    chosen = staged(docs.join(own, "doc_id", "left_semi").mapInPandas(_sets, "id long, n long, shingles binary"), "join-chosen")
-    keys = chosen.mapInPandas(_prefixes(slot_ranks(chosen)), "id long, n long, prefix array<long>").select("id", "n", F.explode("prefix").alias("key"))
+    ranks = slot_ranks(described.where("slice IS NOT NULL").select("slice", "counts"))
+    chosen = staged(docs.join(own, "doc_id", "left_semi").mapInPandas(_outlines(ranks), "id long, n long, prefix array<long>, fine binary").where("n > 0"), "join-chosen")
+    keys = chosen.select("id", "n", F.explode("prefix").alias("key"))
     least = staged(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo"), "join-keys")
     least = small_or_plain(least, 32)  # keys of one text are gone: few are left
-    step = F.floor(F.log(F.col("n")) / math.log(STEP)).cast("int").alias("step")
-    blocks = staged(keys.join(least, "key").select("lo", "id", step, "n").distinct(), "join-blocks")
-    found = _in_blocks(chosen, blocks, step)
-    members_found = staged(found(_as_members, "id long, least long, n_links long"), "join-found")
+    blocks = staged(keys.join(least, "key").select("lo", "id", "n").distinct(), "join-blocks")
+    live = _in_blocks(chosen.select("id", F.col("fine").alias("held")).distinct(), blocks, _Outline)(tile_live, "lo long, id long")
+    blocks = staged(blocks.join(staged(live.distinct(), "join-live"), ["lo", "id"], "left_semi"), "join-blocks")
+    wanted = small_or_plain(staged(blocks.select(F.col("id").alias("doc_id")).distinct(), "join-wanted"), 16)
+    sets = staged(docs.join(wanted, "doc_id", "left_semi").mapInPandas(_sets, "id long, held binary"), "join-whole")
+    found = _in_blocks(sets, blocks, _Tile)
+    members_found = staged(found(tile_members, "id long, least long, n_links long"), "join-found")
     ends = staged(members_found.groupBy(F.col("id").alias("rep")).agg(F.sum("n_links").alias("n_links")), "join-counts")
     edges = members_found.where("least < id").select(F.col("least").alias("a"), F.col("id").alias("b"))
     labels = components(edges, "join-labels").withColumnRenamed("id", "rep").join(ends, "rep")
@@ -355,10 +406,10 @@ def links(docs: DataFrame, text_col: str = "text") -> Links:
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("c", "doc_id").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
-    lost = docs.where(F.col("doc_id").isNull()).mapInPandas(_describe, schema)
+    lost = docs.where(F.col("doc_id").isNull()).mapInPandas(_describe, schema).where("slice IS NULL")
     none = F.lit(None).cast("long")
     lost = lost.select("doc_id", F.col("n").alias("n_shingles"), none.alias("class_id"), none.alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return Links(found(_as_pairs, "a long, b long"), members.unionByName(lost))
+    return Links(found(tile_pairs, "a long, b long"), members.unionByName(lost))
 
 
 def join(docs: DataFrame, text_col: str = "text") -> DataFrame:
