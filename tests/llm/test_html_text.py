@@ -32,6 +32,12 @@ def test_shapes(inner):
     assert X.main_text(page(inner.format(PAR))) == f"Head\n{PAR}\n{PAR} & more"
 
 
+@pytest.mark.parametrize("words", ["has-sidebar", "entry no-comments", "elementor-widget"])
+def test_class_words_keep_the_article(words):
+    inner = f"<div>Site name</div><div id=content class='{words}'>" + f"<p>{PAR}</p>" * 5 + f"</div><div class=comments><p>{PAR}</p></div>"
+    assert X.main_text(page(inner)) == "\n".join([PAR] * 5)
+
+
 def recursive(parent, tag, kept, chars, tags, body):
     """The formula, node by node, from the definition."""
     n = len(parent)

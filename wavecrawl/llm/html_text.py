@@ -61,6 +61,8 @@ CLOSES = {
 }
 SCOPE = frozenset("table td th button object applet marquee".split())
 _WORD = re.compile(r"[a-z0-9]+")
+_ABOUT_OTHERS = re.compile(r"\b(?:has|no|with|without|hide)[-_][a-z0-9]+")  # tells of a node's surroundings, not of the node
+LEFT_SHARE = 0.1  # text left by class words that is less of what they leave out is not the article
 _KEEP, _BY_WORDS, _BY_ELEMENT = 0, 1, 2
 
 
@@ -70,6 +72,7 @@ class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.drop, self.tags = ["#page"], [-1], [_KEEP], [0]
+        self.comments = [False]  # nodes whose class tells of reader comments
         self.events: list[tuple[int, str | None]] = []  # None: a border between blocks
         self.open = [0]
         self.opened: Counter[str] = Counter()  # open elements by name
@@ -111,7 +114,8 @@ class _Page(HTMLParser):
             self.events.append((top, " " if tag in INLINE else None))
             return
         attrs = {k: v or "" for k, v in attrs}
-        words = set(_WORD.findall((attrs.get("class", "") + " " + attrs.get("id", "")).lower()))
+        names = _ABOUT_OTHERS.sub(" ", (attrs.get("class", "") + " " + attrs.get("id", "")).lower())
+        words = set(_WORD.findall(names))
         node = len(self.tag)
         inside = self.opened["article"] + self.opened["main"] > 0
         self.tag.append(tag)
@@ -119,6 +123,7 @@ class _Page(HTMLParser):
         self.parent.append(top)
         self.tags.append(0)
         self.drop.append(self._verdict(tag, attrs, words, inside))
+        self.comments.append(bool(words & COMMENT_WORDS))
         self.open.append(node)
         if tag == "body":
             self.body = node
@@ -142,6 +147,16 @@ class _Page(HTMLParser):
             return _BY_WORDS
         return _KEEP
 
+    def chars_by_words(self) -> int:
+        """Characters, blanks apart, in nodes left out for a class word, reader comments apart."""
+        n = len(self.tag)
+        state = [_KEEP] * n
+        for i in range(n):
+            state[i] = max(self.drop[i], state[self.parent[i]] if i else _KEEP)
+            if self.comments[i] or i and state[self.parent[i]] == _BY_ELEMENT:
+                state[i] = _BY_ELEMENT
+        return sum(sum(map(len, t.split())) for k, t in self.events if t and state[k] == _BY_WORDS)
+
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)  # a slash means nothing in HTML
 
@@ -209,7 +224,15 @@ def main_text(html: str) -> str:
     page = _Page()
     page.feed(html)
     page.close()
-    return _article(page, _BY_WORDS) or _article(page, _BY_ELEMENT)
+    text = _article(page, _BY_WORDS)
+    whole = page.drop
+    if len(text) < LEFT_SHARE * page.chars_by_words():  # class words are evidence only: here the densities decide
+        page.drop = [_BY_ELEMENT if c else d for c, d in zip(page.comments, whole)]
+        text = _article(page, _BY_ELEMENT) or text
+    if not text:
+        page.drop = whole
+        text = _article(page, _BY_ELEMENT)
+    return text
 
 
 def _article(page: _Page, least: int) -> str:
@@ -237,6 +260,9 @@ def _article(page: _Page, least: int) -> str:
     threshold = min(density[i] for i in path)
     outer = next((i for i in path if tag[i] in ("article", "main")), body)
     on_path = set(path)
+    linked = [x == "a" for x in tag]
+    for i in range(n - 1, 0, -1):
+        linked[parent[i]] |= linked[i]
     take = [False] * n
     for i in range(n):
         p = parent[i]
@@ -244,7 +270,8 @@ def _article(page: _Page, least: int) -> str:
             take[i] = kept[i]
         elif p in on_path and i not in on_path and kept[i] and (p == outer or _within(parent, p, outer)):
             heading = tag[i] in ("h1", "h2") or outer != body
-            take[i] = density[i] >= threshold or heading
+            beside = tag[core] == tag[i] == "p" and p == parent[core] and not linked[i]
+            take[i] = density[i] >= threshold or heading or beside
     for i in path:  # own text of the path inside the article
         take[i] = take[i] or i == outer and outer != body or outer != body and _within(parent, i, outer)
     blocks, run = [], []
