@@ -38,3 +38,12 @@ def test_evolve_is_no_worse_than_best_fit():
     best = P.evolve(sizes, 1)
     assert sorted(p for b in best for p in b) == list(range(400)) and len(best) <= len(bins)
     assert all(sum(sizes[p] for p in b) <= 1024 for b in best)
+
+
+def test_a_million_blanks():
+    from wavecrawl.llm import packing
+
+    text = "a" + " " * 1_000_000 + "b"
+    pieces = list(packing.cut(text, packing.default_vocabulary()))
+    ids = packing._library(packing.default_vocabulary().replace(".tiktoken", ".json")).encode(text, add_special_tokens=False).ids
+    assert sum(n for *_, n, _ in pieces) == len(ids) + 1

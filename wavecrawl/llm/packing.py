@@ -11,7 +11,8 @@ in the next epoch, and the last epoch keeps all its bins. So an island stays of
 and all islands together waste at most one loose bin each in the last epoch.
 
 Ids are made with ``tiktoken``, which has the same vocabulary and is three times as fast; tests
-hold them against ``tokenizers``. Null and empty texts are the end id alone. Rows that repeat a
+hold them against ``tokenizers``, which takes over (its ``.json`` file beside the vocabulary)
+where a text has blanks by the million in a row. Null and empty texts are the end id alone. Rows that repeat a
 doc_id, or have none, are packed each. Extra columns are ignored.
 """
 
@@ -55,9 +56,27 @@ def _encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
 
 
+@lru_cache(maxsize=2)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    made.no_truncation()
+    made.no_padding()
+    return made
+
+
+def encode(text: str, path: str) -> list[int]:
+    """Ids of a whole text; ``tiktoken`` refuses very long runs of blanks, which the other library encodes."""
+    try:
+        return _encoder(path).encode(text, allowed_special="all")
+    except ValueError:
+        return _library(path.removesuffix(".tiktoken") + ".json").encode(text, add_special_tokens=False).ids
+
+
 def cut(text: str | None, path: str) -> Iterator[tuple[int, int, int, int]]:
     """(piece, start, length, crc32 of the ids) of a document's pieces."""
-    ids = np.array(_encoder(path).encode(text or "", allowed_special="all") + [END_ID], "<u4")
+    ids = np.array(encode(text or "", path) + [END_ID], "<u4")
     first = len(ids) % CAPACITY or CAPACITY
     ends = [0, *range(first, len(ids) + 1, CAPACITY)]
     for k, (a, b) in enumerate(zip(ends, ends[1:])):
