@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 LONG_LINE = 512
+BLANKS = " \t\n\x0b\f\r"
 WIDTH = 8  # cells in each of the three tables; a power of two
 PER_SKETCH = 8  # differing digests that one sketch of a larger attempt expects at most
 CELLS = 3 * WIDTH
@@ -38,7 +39,7 @@ _FIRST = -(1 << 63)  # stands for a null id in the order
 def paragraphs_of(text: Column) -> Column:
     lines = F.split(text, "[\\r\\n]+")
     cut = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > LONG_LINE, F.split(x, "(?<=[.!?])\\s+")).otherwise(F.array(x))))
-    return F.array_remove(F.transform(cut, lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")), "")
+    return F.array_remove(F.transform(cut, lambda x: F.btrim(x, F.lit(BLANKS))), "")
 
 
 def digests_of(text: Column) -> Column:
