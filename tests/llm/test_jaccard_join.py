@@ -128,3 +128,36 @@ def test_large_blocks_are_cut(spark, monkeypatch):
     assert sorted(map(tuple, got.pairs.collect())) == sorted(want)
     assert {m.doc_id: m.n_links for m in got.members.collect()} == {i: sum(i in p for p in want) for i in range(len(rows))}
     assert {tuple(x) for x in J.join(d).collect()} == brute(list(enumerate(rows)))
+
+
+def test_buckets_give_the_smallest_holder():
+    """Packed first shingles, over several buckets and rows, give the blocks that plain sets give."""
+    r = random.Random(8)
+    held = [(i, r.randrange(5, 90), np.unique(np.array([J.xxhash.xxh3_64_intdigest(b"%d" % r.randrange(300)) for _ in range(r.randrange(9))], np.uint64).view(np.int64))) for i in r.sample(range(10**12), 60)]
+    half = [J.packed(*zip(*part), 7) for part in (held[:25], held[25:])]
+    got = [J.shared_keys(f) for _, f in pd.concat(half).groupby("bucket")]
+    want = set()
+    for i, n, keys in held:
+        for k in keys:
+            holders = [j for j, _, other in held if k in other]
+            want |= {(min(holders), i, n)} if len(holders) > 1 else set()
+    assert {tuple(x) for f in got for x in f.itertuples(index=False)} == want and len(want) > 50
+
+
+def test_hot_shingles_and_small_buckets(spark, monkeypatch):
+    """Shingles taken as rows, and buckets of a few shingles, change nothing."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(500)}" for _ in range(60)]
+    rows = [" ".join(base[: r.randrange(30, 60)] + [f"e{r.randrange(50)}" for _ in range(r.randrange(6))]) for _ in range(40)]
+    docs = list(enumerate(rows)) + [(90, None), (91, "a b"), (92, "A b")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(J, "KEYS", 40)
+    for hot in (0, 5, 1 << 16):
+        monkeypatch.setattr(J, "HOT", hot)
+        assert {tuple(x) for x in J.join(d).collect()} == brute(docs)
+
+
+def test_needed_blocks(spark):
+    rows = [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3), (3, 4), (5, 5), (5, 6)]  # block 2 lies in block 1, block 3 doesn't
+    got = J.needed_blocks(J.staged(spark.createDataFrame([(*x, 9) for x in rows], "lo long, id long, n long"), "test"))
+    assert sorted((x.lo, x.id) for x in got.collect()) == [x for x in rows if x[0] != 2]

@@ -9,7 +9,11 @@ links with nothing). Two sets link when 100 * intersection >= 75 * union.
    all documents, then by hash. Sets that link share one of their first ``n - ceil(0.75 n) + 1``
    shingles in any order; in this one, passages that many documents share come last and make no
    block. A class is in the block of the smallest class that has such a shingle of its own, so
-   two that link meet in the block of the smallest holder of their shared shingle.
+   two that link meet in the block of the smallest holder of their shared shingle. First shingles
+   travel once, packed by bucket (the hash modulo the number of buckets, and 40 bits of the rest;
+   two that agree in these by chance only make a block larger). Those of slots that hold more
+   than ``HOT`` texts and a ``HOT_SHARE``-th of all shingles may be in any share of the classes:
+   they are aggregated as rows instead. A block whose classes are all in one smaller block goes.
 3. Blocks of up to ``TILE`` classes and ``BUDGET`` shingles are dealt to groups of about
    ``BUDGET``. Larger ones are cut by set size, in steps of ``STEP``, and by hash into packed
    tiles of that bound; only tiles of the same or the next step meet, as sizes of sets that link
@@ -56,6 +60,9 @@ STEP = 1.4  # sizes of a tile differ by less; above 4/3, so that sets that link
 SLOTS = 1 << 20  # counts that order the shingles: one byte each when they are sent
 SLICE = 1 << 14  # slots that are summed together
 LEAF = 32  # points in a leaf of the R-tree
+KEYS = 1 << 20  # first shingles in a bucket, on average
+HOT, HOT_SHARE = 1 << 16, 1 << 12  # counts of a slot above which its shingles don't go into buckets
+KEY_BYTES = 5  # of a shingle inside its bucket
 HEAVY_SHARE = 1000  # keys with more than 1 / HEAVY_SHARE of all rows: at most so many, broadcast
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -190,7 +197,7 @@ def slot_ranks(slices: DataFrame) -> np.ndarray:
 
 
 def _outlines(ranks: np.ndarray):
-    """Batches of texts -> the size of each set, its first shingles, rare slots first, and its finer vector."""
+    """Batches of texts -> the size of each set and its first shingles, rare slots first."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -198,12 +205,94 @@ def _outlines(ranks: np.ndarray):
             for i, t in zip(frame["doc_id"], frame["text"]):
                 s = shingle_set(t)
                 first = np.argsort(ranks[slots_of(s)], kind="stable")  # sets are sorted by hash
-                rows.append((i, len(s), s[first[: prefix_size(len(s))]], count_vector(s, fine_groups(len(s))).tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "n", "prefix", "fine"])
+                rows.append((i, len(s), s[first[: prefix_size(len(s))]]))
+            yield pd.DataFrame(rows, columns=["id", "n", "prefix"])
 
     return run
 
 
+def _fine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        sets = [(i, shingle_set(t)) for i, t in zip(frame["doc_id"], frame["text"])]
+        yield pd.DataFrame([(i, count_vector(s, fine_groups(len(s))).tobytes()) for i, s in sets if len(s)], columns=["id", "held"])
+
+
+PACKED = "bucket int, ids array<long>, sizes array<long>, counts array<int>, keys binary, id long, n long, often array<long>"
+
+
+def packed(ids: list, sizes: list, prefixes: list, buckets: int) -> pd.DataFrame:
+    """One row per bucket: its texts' ids, set sizes and numbers of shingles there, and these shingles in the texts' order."""
+    keys = np.concatenate([*prefixes, np.zeros(0, np.int64)]).view(np.uint64)
+    owner = np.repeat(np.arange(len(ids)), [len(x) for x in prefixes])
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rest = (keys // np.uint64(buckets))[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+    owner, bucket = owner[order], bucket[order]
+    ids, sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    rows = []
+    for s, e in zip(cuts, [*cuts[1:], len(bucket)]):
+        there, counts = np.unique(owner[s:e], return_counts=True)
+        rows.append((int(bucket[s]), ids[there], sizes[there], counts.astype(np.int32), rest[s:e].tobytes(), None, None, None))
+    return pd.DataFrame(rows, columns=["bucket", "ids", "sizes", "counts", "keys", "id", "n", "often"])
+
+
+def _dealt_keys(ranks: np.ndarray, buckets: int, hot: int):
+    """Batches of texts -> their first shingles, packed by bucket; those of slots of rank ``hot`` or more as arrays."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, sizes, held, total = [], [], [], 0
+        for frame in _outlines(ranks)(frames):
+            rows = []
+            for i, n, prefix in zip(frame["id"], frame["n"], frame["prefix"]):
+                often = ranks[slots_of(prefix)] >= hot
+                if often.any():
+                    rows.append((None, None, None, None, None, i, n, prefix[often]))
+                ids.append(i)
+                sizes.append(n)
+                held.append(prefix[~often])
+                total += len(held[-1])
+            if rows:
+                yield pd.DataFrame(rows, columns=["bucket", "ids", "sizes", "counts", "keys", "id", "n", "often"])
+            if total >= KEYS:
+                yield packed(ids, sizes, held, buckets)
+                ids, sizes, held, total = [], [], [], 0
+        if total:
+            yield packed(ids, sizes, held, buckets)
+
+    return run
+
+
+def shared_keys(frame: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a bucket -> ``lo, id, n``: each text with the smallest id that has one of its shingles there, if another id has it."""
+    ids, sizes, counts = (np.concatenate(frame[c].tolist()) for c in ("ids", "sizes", "counts"))
+    owner = np.repeat(np.arange(len(ids)), counts)
+    keys = np.zeros((len(owner), 8), np.uint8)
+    keys[:, :KEY_BYTES] = np.frombuffer(b"".join(frame["keys"]), np.uint8).reshape(-1, KEY_BYTES)
+    keys = keys.view("<u8").ravel()
+    order = np.lexsort((ids[owner], keys))
+    keys, owner = keys[order], owner[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    run = np.diff(np.r_[first, len(keys)])
+    lo, hi = ids[owner[first]], ids[owner[first + run - 1]]
+    shared = np.repeat(lo < hi, run)
+    out = {"lo": np.repeat(lo, run)[shared], "id": ids[owner[shared]], "n": sizes[owner[shared]]}
+    return pd.DataFrame(out).drop_duplicates(ignore_index=True)
+
+
+def needed_blocks(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (lo, id, n) without those whose classes are all in one smaller block, where each of their pairs meets.
+
+    The one tried is the smallest block of the class that the block is named after.
+    """
+    over = blocks.groupBy("id").agg(F.min("lo").alias("over")).where("over < id").select(F.col("id").alias("lo"), "over")
+    over = small_or_plain(staged(over, "join-over"), 32)
+    there = blocks.select(F.col("lo").alias("over"), "id").distinct()
+    missing = blocks.join(over, "lo").select("lo", "over", "id").join(there, ["over", "id"], "left_anti").select("lo").distinct()
+    gone = staged(over.select("lo").join(missing, "lo", "left_anti"), "join-gone")
+    return blocks.join(small_or_plain(gone, 16), "lo", "left_anti")
+
+
 def attach_least(rows: DataFrame, key: str, value: str, out: str, kind: str) -> DataFrame:
     """``rows`` with ``out``: the smallest ``value`` of their ``key``; keys of many rows are joined by broadcast."""
     least = staged(rows.groupBy(key).agg(F.min(value).alias(out), F.count("*").alias("__n")).where("__n > 1"), kind)
@@ -387,13 +476,21 @@ def links(docs: DataFrame, text_col: str = "text") -> Links:
     classes = staged(attach_least(narrow, "digest", "doc_id", "rep", "join-classes").select("doc_id", "digest", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "join-classes")
     own = small_or_plain(staged(classes.where("doc_id = rep").select("doc_id").distinct(), "join-own"), 16)
     ranks = slot_ranks(described.where("slice IS NOT NULL").select("slice", "counts"))
-    chosen = staged(docs.join(own, "doc_id", "left_semi").mapInPandas(_outlines(ranks), "id long, n long, prefix array<long>, fine binary").where("n > 0"), "join-chosen")
-    keys = chosen.select("id", "n", F.explode("prefix").alias("key"))
-    least = staged(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo"), "join-keys")
-    least = small_or_plain(least, 32)  # keys of one text are gone: few are left
-    blocks = staged(keys.join(least, "key").select("lo", "id", "n").distinct(), "join-blocks")
-    live = _in_blocks(chosen.select("id", F.col("fine").alias("held")).distinct(), blocks, _Outline)(tile_live, "lo long, id long")
+    shingles = narrow.agg(F.sum("n")).first()[0] or 0
+    hot = int(4 * math.log2(1 + max(HOT, shingles // HOT_SHARE)))
+    first = docs.join(own, "doc_id", "left_semi").mapInPandas(_dealt_keys(ranks, 1 + shingles // 4 // KEYS, hot), PACKED)
+    first = staged(first, "join-first")
+    rare = first.where("bucket IS NOT NULL").select("bucket", "ids", "sizes", "counts", "keys").groupBy("bucket")
+    often = first.where("id IS NOT NULL").select("id", "n", F.explode("often").alias("key"))
+    least = staged(often.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo"), "join-keys")
+    met = often.join(small_or_plain(least, 32), "key").select("lo", "id", "n")
+    blocks = staged(rare.applyInPandas(shared_keys, "lo long, id long, n long").unionByName(met).distinct(), "join-blocks")
+    blocks = staged(needed_blocks(blocks), "join-blocks")
+    some = small_or_plain(staged(blocks.select(F.col("id").alias("doc_id")).distinct(), "join-some"), 16)
+    fine = staged(docs.join(some, "doc_id", "left_semi").mapInPandas(_fine, "id long, held binary").distinct(), "join-fine")
+    live = _in_blocks(fine, blocks, _Outline)(tile_live, "lo long, id long")
     blocks = staged(blocks.join(staged(live.distinct(), "join-live"), ["lo", "id"], "left_semi"), "join-blocks")
+    blocks = staged(needed_blocks(blocks), "join-blocks")
     wanted = small_or_plain(staged(blocks.select(F.col("id").alias("doc_id")).distinct(), "join-wanted"), 16)
     sets = staged(docs.join(wanted, "doc_id", "left_semi").mapInPandas(_sets, "id long, held binary"), "join-whole")
     found = _in_blocks(sets, blocks, _Tile)
