@@ -139,8 +139,9 @@ def test_buckets_give_the_smallest_holder():
     want = set()
     for i, n, keys in held:
         for k in keys:
-            holders = [j for j, _, other in held if k in other]
-            want |= {(min(holders), i, n)} if len(holders) > 1 else set()
+            holders = {j: m for j, m, other in held if k in other}
+            near = [j for j, m in holders.items() if j != i and 4 * min(m, n) >= 3 * max(m, n)]
+            want |= {(min(holders), i, n)} if near else set()
     assert {tuple(x) for f in got for x in f.itertuples(index=False)} == want and len(want) > 50
 
 

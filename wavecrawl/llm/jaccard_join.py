@@ -11,7 +11,9 @@ links with nothing). Two sets link when 100 * intersection >= 75 * union.
    block. A class is in the block of the smallest class that has such a shingle of its own, so
    two that link meet in the block of the smallest holder of their shared shingle. First shingles
    travel once, packed by bucket (the hash modulo the number of buckets, and 40 bits of the rest;
-   two that agree in these by chance only make a block larger). Those of slots that hold more
+   two that agree in these by chance only make a block larger). A class that shares such a
+   shingle only with sets that are too small or too large to link is not put into its block.
+   First shingles of slots that hold more
    than ``HOT`` texts and a ``HOT_SHARE``-th of all shingles may be in any share of the classes:
    they are aggregated as rows instead. A block whose classes are all in one smaller block goes.
 3. Blocks of up to ``TILE`` classes and ``BUDGET`` shingles are dealt to groups of about
@@ -60,7 +62,7 @@ STEP = 1.4  # sizes of a tile differ by less; above 4/3, so that sets that link
 SLOTS = 1 << 20  # counts that order the shingles: one byte each when they are sent
 SLICE = 1 << 14  # slots that are summed together
 LEAF = 32  # points in a leaf of the R-tree
-KEYS = 1 << 20  # first shingles in a bucket, on average
+KEYS = 1 << 21  # first shingles in a bucket, on average
 HOT, HOT_SHARE = 1 << 16, 1 << 12  # counts of a slot above which its shingles don't go into buckets
 KEY_BYTES = 5  # of a shingle inside its bucket
 HEAVY_SHARE = 1000  # keys with more than 1 / HEAVY_SHARE of all rows: at most so many, broadcast
@@ -264,19 +266,24 @@ def _dealt_keys(ranks: np.ndarray, buckets: int, hot: int):
 
 
 def shared_keys(frame: pd.DataFrame) -> pd.DataFrame:
-    """Rows of a bucket -> ``lo, id, n``: each text with the smallest id that has one of its shingles there, if another id has it."""
+    """Rows of a bucket -> ``lo, id, n``: for each shingle there, the smallest id that has it and the texts
+    that have it together with another one of a size that allows a link."""
     ids, sizes, counts = (np.concatenate(frame[c].tolist()) for c in ("ids", "sizes", "counts"))
-    owner = np.repeat(np.arange(len(ids)), counts)
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
     keys = np.zeros((len(owner), 8), np.uint8)
     keys[:, :KEY_BYTES] = np.frombuffer(b"".join(frame["keys"]), np.uint8).reshape(-1, KEY_BYTES)
     keys = keys.view("<u8").ravel()
-    order = np.lexsort((ids[owner], keys))
+    order = np.lexsort((sizes[owner], keys))
     keys, owner = keys[order], owner[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    same = keys[1:] == keys[:-1]
+    n = sizes[owner]
+    close = same & (4 * n[:-1] >= 3 * n[1:])  # neighbours by size: if any two sizes are close enough, these are
+    kept = np.r_[False, close] | np.r_[close, False]
+    first = np.flatnonzero(np.r_[True, ~same])
+    lo, hi = (f.reduceat(ids[owner], first) for f in (np.minimum, np.maximum))
     run = np.diff(np.r_[first, len(keys)])
-    lo, hi = ids[owner[first]], ids[owner[first + run - 1]]
-    shared = np.repeat(lo < hi, run)
-    out = {"lo": np.repeat(lo, run)[shared], "id": ids[owner[shared]], "n": sizes[owner[shared]]}
+    kept &= np.repeat(lo < hi, run)
+    out = {"lo": np.repeat(lo, run)[kept], "id": ids[owner[kept]], "n": n[kept]}
     return pd.DataFrame(out).drop_duplicates(ignore_index=True)
 
 
