@@ -133,8 +133,8 @@ def test_large_blocks_are_cut(spark, monkeypatch):
 def test_buckets_give_the_smallest_holder():
     """Packed first shingles, over several buckets and rows, give the blocks that plain sets give."""
     r = random.Random(8)
-    held = [(i, r.randrange(5, 90), np.unique(np.array([J.xxhash.xxh3_64_intdigest(b"%d" % r.randrange(300)) for _ in range(r.randrange(9))], np.uint64).view(np.int64))) for i in r.sample(range(10**12), 60)]
-    half = [J.packed(*zip(*part), 7) for part in (held[:25], held[25:])]
+    held = [(i, r.randrange(5, 90), np.unique(np.array([J.xxhash.xxh3_64_intdigest(b"%d" % r.randrange(300)) for _ in range(r.randrange(9))], np.uint64).view(np.int64))) for i in r.sample(range(10**12), 150)]
+    half = [J.packed(*zip(*part), 7) for part in (held[:70], held[70:])]
     got = [J.shared_keys(f) for _, f in pd.concat(half).groupby("bucket")]
     want = set()
     for i, n, keys in held:
