@@ -47,3 +47,35 @@ def test_a_million_blanks():
     pieces = list(packing.cut(text, packing.default_vocabulary()))
     ids = packing._library(packing.default_vocabulary().replace(".tiktoken", ".json")).encode(text, add_special_tokens=False).ids
     assert sum(n for *_, n, _ in pieces) == len(ids) + 1
+
+
+def test_elites_enter_the_next_island():
+    """Full bins of another packing are taken over, and the result holds every piece once."""
+    r = random.Random(6)
+    sizes = [r.randint(1, 700) for _ in range(300)]
+    own = [[p] for p in range(300)]  # the worst packing there is
+    elite: list = []
+    P.best_fit(sizes, sorted(range(300), key=lambda p: -sizes[p]), elite, [])
+    elite = [b for b in elite if sum(sizes[p] for p in b) >= P.ELITE]
+    child = P.crossover(own, elite, sizes, random.Random(1))
+    assert sum(b in child for b in elite) >= len(elite) // 4
+    best = P.evolve(sizes, 3, own, elite)
+    assert sorted(p for b in best for p in b) == list(range(300)) and len(best) < 300
+
+
+def test_islands_of_a_group(spark):
+    """Islands that exchange elites give one packing of every piece, no worse than best fit."""
+    r = random.Random(7)
+    sizes = [r.randint(1, 900) for _ in range(500)]
+    pieces = spark.createDataFrame([(k % 2, k * 3, n) for k, n in enumerate(sizes)], "group long, uid long, length long")
+    got = P.grouped_search(pieces).toPandas()
+    assert sorted(got.uid) == [k * 3 for k in range(500)]
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.length.sum() == s.fill.iloc[0] <= 1024 and (s.offset.to_numpy() == np.r_[0, s.length.cumsum().to_numpy()[:-1]]).all()
+    plain = 0
+    for g in range(2):
+        own = sizes[g::2]
+        bins: list = []
+        P.best_fit(own, sorted(range(len(own)), key=lambda p: -own[p]), bins, [])
+        plain += len(bins)
+    assert got.sequence_id.nunique() <= plain

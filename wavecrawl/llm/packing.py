@@ -2,13 +2,16 @@
 
 Documents become ids of the public byte-level vocabulary, then one end id. Longer ones are cut
 into pieces of ``CAPACITY``, the first may be shorter. Whole pieces fill a sequence alone; the
-others are dealt at random to islands of about ``ISLAND`` pieces. Each island keeps a small
-population of packings, first by best fit on perturbed orders. A crossover takes whole
-well-filled bins of one parent, drops the other parent's bins that hold the same pieces, and
-puts displaced pieces into the open bins by best fit. Of each island's best packing, bins full
-to ``ELITE`` migrate out as final sequences; pieces of the rest are dealt to new, fewer islands
-in the next epoch, and the last epoch keeps all its bins. So an island stays of bounded size,
-and all islands together waste at most one loose bin each in the last epoch.
+others are dealt at random to groups of about ``GROUP`` pieces. ``ISLANDS`` islands search the
+pieces of a group, each with its own seed and a small population of packings, first by best fit
+on perturbed orders. A crossover takes whole well-filled bins of one parent, drops the other
+parent's bins that hold the same pieces, and puts displaced pieces into the open bins by best
+fit. After each round the elite of an island's best packing, its bins full to ``ELITE``, migrates
+as copies to the next island of the group and crosses there with that island's best. The
+island with the fewest sequences gives the group's packing. Its bins full to ``ELITE`` are final;
+pieces of the rest are dealt to new, fewer groups in the next epoch, and the last epoch keeps all
+its bins. So an island stays of bounded size, and all groups together waste at most one loose
+bin each in the last epoch.
 
 Ids are made with ``tiktoken``, which has the same vocabulary and is three times as fast; tests
 hold them against ``tokenizers``, which takes over (its ``.json`` file beside the vocabulary)
@@ -33,10 +36,11 @@ from .common import staged, table
 
 CAPACITY = 1024
 END_ID = 2
-ISLAND = 3000
-POPULATION, GENERATIONS = 4, 6
+GROUP = 3000
+ISLANDS, ROUNDS = 2, 2  # islands that search the same pieces; searches with a migration between them
+POPULATION, GENERATIONS = 4, 4
 EPOCHS = 3
-ELITE = 1020  # tokens in a bin from which it is final before the last epoch
+ELITE = 1020  # tokens in a bin from which it migrates, and is final before the last epoch
 END_OF_TEXT = "<|endoftext|>"
 
 
@@ -130,16 +134,22 @@ def crossover(a, b, sizes, rng: random.Random):
     return bins
 
 
-def evolve(sizes: list[int], seed: int) -> list[list[int]]:
-    """The best packing found for pieces of the given sizes: lists of their indexes."""
+def evolve(sizes: list[int], seed: int, own: list[list[int]] | None = None, elite: list[list[int]] | None = None) -> list[list[int]]:
+    """The best packing found for pieces of the given sizes: lists of their indexes.
+
+    ``own`` is the packing to go on from, and ``elite`` holds well-filled bins of another one.
+    """
     rng = random.Random(seed)
-    people = []
-    for k in range(POPULATION):
+    people = [] if own is None else [own]
+    if own and elite:
+        people.append(crossover(own, elite, sizes, rng))
+    for k in range(len(people), POPULATION):
         noise = 0.02 * k * CAPACITY
         order = sorted(range(len(sizes)), key=lambda p: (-sizes[p] + (rng.random() * noise if k else 0), p))
         bins: list[list[int]] = []
         best_fit(sizes, order, bins, [])
-        people.append((fitness(bins, sizes), bins))
+        people.append(bins)
+    people = [(fitness(x, sizes), x) for x in people]
     for _ in range(GENERATIONS):
         people.sort(key=lambda x: (len(x[1]), -x[0]))
         child = crossover(people[0][1], people[rng.randrange(1, len(people))][1], sizes, rng)
@@ -147,19 +157,46 @@ def evolve(sizes: list[int], seed: int) -> list[list[int]]:
     return min(people, key=lambda x: (len(x[1]), -x[0]))[1]
 
 
+def _bins(frame: pd.DataFrame, at: dict[int, int]) -> list[list[int]]:
+    """The bins of rows (uid, sequence_id, offset), as lists of pieces."""
+    frame = frame.sort_values(["sequence_id", "offset"], kind="stable")
+    return [[at[u] for u in x] for _, x in frame.groupby("sequence_id", sort=False)["uid"]]
+
+
 def _island(key, frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("uid", kind="stable").reset_index(drop=True)
-    sizes = frame["length"].astype(int).tolist()
+    """One round of an island: rows of its pieces, with its packing so far, and of a neighbour's elite."""
+    group, island, round_ = (int(k) for k in key)
+    own = frame[~frame["migrant"]].sort_values("uid", kind="stable").reset_index(drop=True)
+    uid, sizes = own["uid"].to_numpy(), own["length"].astype(int).tolist()
+    at = {u: k for k, u in enumerate(uid.tolist())}
+    start = _bins(own, at) if round_ else None
+    best = evolve(sizes, (group * ISLANDS + island) * ROUNDS + round_, start, _bins(frame[frame["migrant"]], at))
     out = []
-    for bin_ in evolve(sizes, int(key[0])):
-        at = 0
+    for bin_ in best:
+        offset, fill = 0, sum(sizes[p] for p in bin_)
         for p in bin_:
-            out.append((p, bin_[0], at))
-            at += sizes[p]
-        out[-len(bin_) :] = [(*x, at) for x in out[-len(bin_) :]]
-    p, first, at, fill = zip(*out)
-    uid = frame["uid"].to_numpy()
-    return pd.DataFrame({"uid": uid[list(p)], "length": np.array(sizes)[list(p)], "sequence_id": uid[list(first)], "offset": at, "fill": fill})
+            out.append((p, bin_[0], offset, fill))
+            offset += sizes[p]
+    p, first, offset, fill = zip(*out)
+    made = {"uid": uid[list(p)], "length": np.array(sizes)[list(p)], "sequence_id": uid[list(first)], "offset": offset, "fill": fill}
+    return pd.DataFrame({"group": group, "island": island, **made, "bins": len(best), "loss": 1 - fitness(best, sizes)})
+
+
+_FOUND = "group long, island long, uid long, length long, sequence_id long, offset long, fill long, bins long, loss double"
+
+
+def grouped_search(pieces: DataFrame) -> DataFrame:
+    """``uid, length, sequence_id, offset, fill``: the best island's packing of each group of ``pieces`` (uid, length, group)."""
+    one = F.lit(None).cast("long")
+    islands = F.explode(F.array(*(F.lit(k).cast("long") for k in range(ISLANDS)))).alias("island")
+    rows = pieces.select("group", islands, "uid", "length", one.alias("sequence_id"), one.alias("offset"), F.lit(False).alias("migrant"))
+    for round_ in range(ROUNDS):
+        found = staged(rows.groupBy("group", "island", F.lit(round_).alias("round")).applyInPandas(_island, _FOUND), "pack-islands")
+        kept = found.select("group", "island", "uid", "length", "sequence_id", "offset", F.lit(False).alias("migrant"))
+        elite = found.where((F.col("fill") >= ELITE) & F.lit(ISLANDS > 1))
+        rows = kept.unionByName(elite.select("group", ((F.col("island") + 1) % ISLANDS).alias("island"), "uid", "length", "sequence_id", "offset", F.lit(True).alias("migrant")))
+    best = found.groupBy("group").agg(F.min(F.struct("bins", "loss", "island"))["island"].alias("island"))
+    return found.join(best, ["group", "island"], "left_semi").select("uid", "length", "sequence_id", "offset", "fill")
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
@@ -177,9 +214,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text")
     left = made.where(F.col("length") < CAPACITY).select("uid", "length")
     placed = made.where(F.col("length") == CAPACITY).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     for epoch in range(EPOCHS):
-        islands = max(1, left.count() // ISLAND)
-        dealt = left.withColumn("island", F.pmod(F.xxhash64("uid", F.lit(epoch)), F.lit(islands)))
-        done = staged(dealt.groupBy("island").applyInPandas(_island, "uid long, length long, sequence_id long, offset long, fill long"), "pack-epoch")
+        groups = max(1, left.count() // GROUP)
+        dealt = left.withColumn("group", F.pmod(F.xxhash64("uid", F.lit(epoch)), F.lit(groups)))
+        done = staged(grouped_search(dealt.select("group", "uid", "length")), "pack-epoch")
         final = F.col("fill") >= (ELITE if epoch < EPOCHS - 1 else 0)
         placed = placed.unionByName(done.where(final).select("uid", "sequence_id", "offset"))
         left = done.where(~final).select("uid", "length")
