@@ -65,3 +65,14 @@ def test_rows(spark):
     nothing = Q.learn(docs.limit(0), labels, F.lit(True))
     assert {r.score for r in Q.score(docs, nothing).collect()} == {0.5}
     assert Q.score(docs.limit(0), forest).count() == 0
+
+
+def test_repeated_ids_count_once(spark, monkeypatch):
+    """A labelled doc_id of many rows gives the driver one row, the same whatever the partitions."""
+    docs = spark.createDataFrame([(7, f"text {i} of many") for i in range(300)] + [(8, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "train", lambda x, y: seen.append((x.tolist(), y.tolist())))
+    for n in (1, 5):
+        Q.learn(docs.repartition(n), labels, F.lit(True))
+    assert seen[0] == seen[1] and seen[0][1] == [1.0, 0.0]

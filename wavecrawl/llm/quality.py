@@ -144,13 +144,14 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, text_col: str = "
     """Trees from at most ``MAX_TRAIN_DOCS`` labelled rows of ``docs`` for which ``allowed`` holds.
 
     Only their statistics reach the driver. Rows with a null label don't count; of a
-    document with several labels, the largest counts.
+    document with several labels, the largest counts, and of rows that repeat a doc_id, the
+    one whose statistics come first.
     """
     marked = labels.where(F.col("quality").isNotNull() & allowed).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = hashed_sample(marked, MAX_TRAIN_DOCS)
     rows = docs.select("doc_id", text_col).join(F.broadcast(sample), "doc_id").select(
         "doc_id", "quality", per_text(F.col(text_col), lambda t: (statistics(t),), "x array<double>")["x"].alias("x")
-    ).toPandas().sort_values("doc_id", kind="stable")
+    ).groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     order = np.lexsort((*x.T, rows["doc_id"].to_numpy())) if len(rows) else []
     return train(x[order] if len(rows) else x, rows["quality"].to_numpy(float)[order] if len(rows) else np.zeros(0))
