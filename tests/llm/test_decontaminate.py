@@ -51,3 +51,13 @@ def test_against_brute_force(spark):
     assert D.find_leaks(d.limit(0), b).count() == 0 and D.find_leaks(d, b.limit(0)).count() == 0
     kept = D.without_ids(d, D.find_leaks(d, b).select("doc_id"), "test")
     assert kept.columns == d.columns and kept.count() == len(docs) - sum(x[0] in {p[0] for p in pairs} for x in docs)
+
+
+def test_blocks_find_items_of_the_window(spark):
+    """Items that share no aligned shingle rank still meet a window of their length; long items go through the index too."""
+    words = ["v%d" % i for i in range(300)]
+    long_item, near = " ".join(words), " ".join(words[:150] + ["edit"] + words[151:])
+    d = spark.createDataFrame([(1, "before it " + near + " after it"), (2, "nothing here")], "doc_id long, text string")
+    b = spark.createDataFrame([(7, long_item), (8, near), (9, "other words of no document at all")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start, round(r.similarity, 3)) for r in D.find_leaks(d, b).collect()}
+    assert got == {(1, 7, 2, round(291 / 301, 3)), (1, 8, 2, 1.0)}

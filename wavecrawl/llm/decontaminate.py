@@ -7,7 +7,9 @@
 2. A window's and an item's 64-bit SimHash take the majority, bit by bit, of its shingles'
    hashes. The fingerprint is cut into ``RADIUS + 1`` blocks: two fingerprints within
    ``RADIUS`` differ in at most ``RADIUS`` bits, so at least one block is equal. Windows meet
-   items through an equal block, and stay if the Hamming distance is within the radius.
+   the items of their length through an equal block, and stay if the Hamming distance is
+   within the radius. Blocks of 2 to 3 bits let most pairs of one length meet: the radius,
+   then the exact similarity decide.
 3. Weighted shingle similarity (sum of smaller counts over sum of larger counts) of at least
    ``SIMILARITY`` confirms.
 
@@ -98,16 +100,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id
         texts = own.withColumn("words", words_of(F.col("text"))).select("doc_id", F.xxhash64("text").alias("body"), F.size("words").alias("n"), shingles_of(F.col("words"), k).alias("hashes"))
         # outer: else a filter on the array is pushed down, and splits the text anew for each shingle
         hits = texts.select("doc_id", "body", "n", "hashes", F.posexplode_outer("hashes").alias("pos", "hash")).join(small_or_plain(anchors, 48), "hash")
-        hits = hits.select("doc_id", "body", "item", F.expr(_START).alias("start"), F.expr(f"slice(hashes, {_START} + 1, greatest(length - {k - 1}, 1))").alias("window"))
+        hits = hits.select("doc_id", "body", "length", F.expr(_START).alias("start"), F.expr(f"slice(hashes, {_START} + 1, greatest(length - {k - 1}, 1))").alias("window"))
         found = hits if found is None else found.unionByName(hits)
-    windows = found.groupBy("doc_id", "body", "item", "start").agg(F.first("window").alias("window"))
+    windows = found.groupBy("doc_id", "body", "length", "start").agg(F.first("window").alias("window"))
     windows = staged(windows, "decontam-windows").withColumn("fp", simhash(F.col("window")))
     windows = staged(windows, "decontam-window-prints").withColumn("blocks", blocks_of(F.col("fp")))
-    index = staged(every.select("item", "item_fp", "item_hashes", "item_blocks", F.posexplode("item_blocks").alias("block", "value")).dropDuplicates(["item", "block"]), "decontam-index")
-    width = 64 + 8 * 4 * BLOCKS + 8 * 256
-    pairs = windows.select("*", F.posexplode("blocks").alias("block", "value")).join(small_or_plain(index, width), ["item", "block", "value"])
+    # The blocks find the items: any item of the window's length, not only the one whose shingle laid the window.
+    index = staged(every.select("item", "length", "item_fp", "item_blocks", F.posexplode("item_blocks").alias("block", "value")).dropDuplicates(["item", "block"]), "decontam-index")
+    pairs = windows.select("*", F.posexplode("blocks").alias("block", "value")).join(small_or_plain(index, 64 + 8 * BLOCKS), ["length", "block", "value"])
     earlier = F.expr("exists(zip_with(slice(blocks, 1, block), slice(item_blocks, 1, block), (x, y) -> x = y), z -> z)")
     pairs = pairs.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS) & ~earlier)  # each pair once
+    pairs = pairs.select("doc_id", "start", "window", "item").join(every.select("item", "item_hashes").dropDuplicates(["item"]), "item")
     pairs = pairs.withColumn("similarity", weighted_similarity(F.col("window"), F.col("item_hashes"))).where(F.col("similarity") >= SIMILARITY)
     best = pairs.groupBy("doc_id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     ids = small_or_plain(staged(every.select("item", "item_id"), "decontam-ids"), 48)
