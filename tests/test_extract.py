@@ -85,3 +85,19 @@ def test_one_row_per_capture_and_bad_urls(spark):
     assert seen == sorted([
         (u, "Halls", "success", 200, None), (u, "Halls, later", "success", 200, None), (u, None, "error_http", 503, "HTTP 503"),
         ("http://[bad", None, "error_network", None, "invalid_url"), (u + "/map", None, "error_network", None, "ETIMEDOUT")], key=str)
+
+
+def test_html_pass_holds_few_pages_at_a_time(spark):
+    from pyspark.sql import functions as F
+
+    from wavecrawl.operators.htmlpass import PASS_ROWS, html_pass
+
+    n = 3 * PASS_ROWS + 1
+    pages = spark.range(0, n, 1, 1).select("id", F.lit("https://a.example/").alias("u"), F.when(F.col("id") % 5 > 0, F.concat(
+        F.lit("<p>t</p><a href='x"), "id", F.lit("'>x</a>"))).alias("html"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        rows = html_pass(pages, "html", "u", ["id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    assert {r.id: [x.href for x in r.links] for r in rows} == {i: [f"x{i}"] if i % 5 else [] for i in range(n)}
