@@ -1,4 +1,5 @@
 import glob
+import hashlib
 import json
 import os
 
@@ -72,3 +73,15 @@ def test_page_files_commit_rerun_and_failure(spark):
     with pytest.raises(Exception, match="lost"):
         export_page_files(broken, root, run="three")
     assert _files(f"{root}/three") == []
+
+
+def test_page_files_read_back_in_tasks(spark):
+    from wavecrawl.operators.sinks import read_page_files
+
+    root = new_run_dir(spark, "files-back")
+    docs = spark.createDataFrame([(1, "d/1.md", "one"), (1, "x/y.md", ""), (2, "d/2.md", "zwei ä")], "crawl_id long, output_path string, markdown string")
+    export_page_files(docs, root)
+    crawls = spark.createDataFrame([(1,), (2,), (3,)], "crawl_id long")
+    got = {(r.name, r.n_bytes, r.sha256) for r in read_page_files(crawls, root).collect()}
+    assert got == {(f"{c}/{p}", len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for c, p, t in
+                   [(1, "d/1.md", "one"), (1, "x/y.md", ""), (2, "d/2.md", "zwei ä")]}

@@ -2,7 +2,8 @@
 
 * pages    – parquet table ``(crawl_id, output_path, markdown)`` of every
   success; ``export_page_files`` writes one file per row (Spark's own writers
-  cannot name a file per row) through a data source writer with commits.
+  cannot name a file per row) through a data source writer with commits and
+  ``read_page_files`` reads them back, each crawl's folder in a task.
 * merged   – text files per crawl (``crawl_id=<id>/part-*``): the ordered lines
   are range-partitioned on (crawl_id, part, seq, line) and sorted within
   partitions, so concatenating a crawl's part files in name order gives its
@@ -41,6 +42,28 @@ def export_page_files(docs: DataFrame, root: str, run: str = "pages") -> None:
     own.write.format("page_files").mode("append").option("run", run).save(root)
 
 
+def read_page_files(crawls: DataFrame, root: str, run: str = "pages") -> DataFrame:
+    """The ``.md`` files of each ``crawl_id`` of ``crawls``: name (``<crawl_id>/<output_path>``), n_bytes, sha256.
+
+    Each task lists and reads the folders of its crawls, one file at a time; no list of files reaches the driver.
+    """
+    from ..session import ship_package
+    from ..sources.page_files import files_of
+
+    spark = crawls.sparkSession
+    ship_package(spark)
+    base = f"{root.rstrip('/')}/{run}"
+
+    def read(batches):
+        for batch in batches:
+            for crawl in batch.column("crawl_id").to_pylist():
+                yield from files_of(base, crawl)
+
+    folders = crawls.select(F.col("crawl_id").cast("string").alias("crawl_id")).filter(F.col("crawl_id").isNotNull())
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return folders.repartition(tasks, "crawl_id").mapInArrow(read, "name string, n_bytes long, sha256 string")
+
+
 def write_merged(page_results: DataFrame, scopes: DataFrame, path: str) -> None:
     lines = merged_lines(page_results, scopes)
     n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -301,7 +301,7 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written as a page file of its own, and the files read back."""
-    from ..operators.sinks import export_page_files
+    from ..operators.sinks import export_page_files, read_page_files
     from ..session import new_run_dir
 
     root = new_run_dir(spark, "page-files")
@@ -310,10 +310,8 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("output_path"),
                     F.col("text").alias("markdown"))
     export_page_files(docs, root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(
-        f"{root}/pages")
-    name = F.regexp_extract("path", r"/pages/(\d+/d/\d+\.md)$", 1)
-    return files.select(name.alias("name"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    files = read_page_files(docs.select("crawl_id").distinct(), root)
+    return files.select("name", "n_bytes", "sha256")
 
 
 def single_file(spark: SparkSession, sf_dir: str) -> DataFrame:

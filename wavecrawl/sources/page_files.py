@@ -43,6 +43,28 @@ def safe_path(output_path: str) -> str:
     return "/".join("%2E" * len(p) if p in (".", "..") else p for p in parts)
 
 
+def files_of(base: str, crawl_id: str, rows: int = 4096) -> Iterator:
+    """Arrow batches (name, n_bytes, sha256) of the ``.md`` files in the folder of one crawl."""
+    import hashlib
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    store, root = _store(base)
+    folder = f"{root}/{crawl_id}/".lstrip("/")
+    found = store.get_file_info(fs.FileSelector(f"{root}/{crawl_id}", allow_not_found=True, recursive=True))
+    found = [f for f in found if f.type == fs.FileType.File and f.base_name.endswith(".md")]
+    for start in range(0, len(found), rows):
+        out = []
+        for f in found[start : start + rows]:
+            with store.open_input_stream(f.path) as body:
+                data = body.read()
+            out.append((f"{crawl_id}/{f.path[f.path.index(folder) + len(folder) :]}", len(data), hashlib.sha256(data).hexdigest()))
+        names, sizes, digests = zip(*out)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())],
+                                         names=["name", "n_bytes", "sha256"])
+
+
 class PageFilesWriter(DataSourceWriter):
     def __init__(self, options: dict):
         self.root = f"{options['path'].rstrip('/')}/{options.get('run', 'pages')}"
