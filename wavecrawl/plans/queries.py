@@ -218,7 +218,7 @@ def final_url_dedup_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two waves per order year, urgent and high orders first; all filled orders redirect to one login page."""
     from ..session import new_run_dir
     from ..operators.fetch_status import claimed_finals
-    from .snapshot import keyed_responses, winners
+    from .snapshot import _write, keyed_responses, winners
 
     run = new_run_dir(spark, "waves")
     responses = order_responses(spark, sf_dir)
@@ -226,7 +226,7 @@ def final_url_dedup_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(SHOP + "/orders/"), F.col("o_orderkey").cast("string")).alias("url"), F.lit(True).alias("filled"))
     responses = responses.join(filled, "url", "left").withColumn(
         "final_url", F.when(F.col("filled"), F.lit(SHOP + "/login")).otherwise(F.col("final_url"))).drop("filled")
-    meta = narrow_meta(winners(keyed_responses(responses)))
+    meta = narrow_meta(_write(winners(keyed_responses(responses)), f"{run}/meta"))  # both waves read it
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     later = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 0).otherwise(1)
     queue = o.select(
