@@ -279,7 +279,12 @@ def order_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempt_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = resolve_attempts(order_attempts(spark, sf_dir))
+    from ..session import new_run_dir
+    from .snapshot import _write
+
+    # The log is numbered once; choosing reads its narrow columns twice and the effective rows come from it.
+    log = _write(order_attempts(spark, sf_dir), f"{new_run_dir(spark, 'attempt-log')}/log")
+    r = resolve_attempts(log)
     return r.select("url", "attempt", "status", "content_type", "body", "error")
 
 
