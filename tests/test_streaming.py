@@ -27,3 +27,16 @@ def test_admit_stream_with_watermark(spark):
     got = sorted(r.normalized_url for r in out.collect())
     # '/guide/b' has no base (invalid), other host out of scope, .pdf binary; 'a' variants admitted once
     assert got == [G + "a", G + "c"]
+
+
+def test_stream_batches_grow_with_bytes_not_files(spark, sf_dir, tmp_path):
+    import glob
+
+    from wavecrawl.plans import queries as Q
+    from wavecrawl.session import ensure_state_root
+
+    spark.read.parquet(f"{sf_dir}/pages.parquet").limit(40).repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    runs = f"{ensure_state_root(spark)}/wavecrawl/stream-*/_checkpoint/commits/*"
+    before = set(glob.glob(runs))
+    assert Q.stream_admit(spark, str(tmp_path)).count() > 0
+    assert len(set(glob.glob(runs)) - before) == 1

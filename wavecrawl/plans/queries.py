@@ -350,6 +350,10 @@ def pages_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- streaming ------------------------------------------------------------------
 
+# Bytes of page files that one batch of the stream takes (a larger file is a batch of its own).
+STREAM_BATCH = "512m"
+
+
 def stream_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as a file stream: links admitted once per host crawl (domain scope)."""
     from ..session import new_run_dir
@@ -357,7 +361,8 @@ def stream_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.admit import admit_stream, page_links_stream, run_to_table
 
     static_pages = read_table(spark, sf_dir, "pages")
-    stream = (spark.readStream.schema(static_pages.schema).option("maxFilesPerTrigger", 1)
+    # Batches by size, so their number grows with the bytes and not with the number of files.
+    stream = (spark.readStream.schema(static_pages.schema).option("maxBytesPerTrigger", STREAM_BATCH)
               .parquet(f"{sf_dir.rstrip('/')}/pages.parquet*"))
     hosts = _pages(spark, sf_dir).select(U.url_origin(F.col("page_url")).alias("origin")).distinct()
     crawls = hosts.select(

@@ -31,6 +31,8 @@ def admit_stream(urls: DataFrame, scopes: DataFrame, input_col: str = "url", bas
 def page_links_stream(pages: DataFrame) -> DataFrame:
     """Streaming pages (page_id, url, html) → (page_url, href) rows, via the HTML pass."""
     p = U.canonicalize(pages, "url", None, "page_url").filter(F.col("page_url").isNotNull())
+    # A batch may be one file with one row group: deal its pages to all cores before they are parsed.
+    p = p.select("page_url", "html").repartition(p.sparkSession.sparkContext.defaultParallelism)
     parsed = html_pass(p, "html", "page_url", ["page_url"], want_content=False)
     return parsed.select("page_url", F.explode("links").alias("l")).select("page_url", F.col("l.href").alias("href"))
 
