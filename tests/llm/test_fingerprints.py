@@ -58,3 +58,27 @@ def test_recovers_the_differing_digests(spark):
     hashes = {i: h for i, h in spark.range(0, 5600).selectExpr("id", "xxhash64(id)").collect()}
     assert set(row.only_left) == {hashes[i] for i in range(100)} and set(row.only_right) == {hashes[i] for i in range(5000, 5600)}
     assert len(row.only_left) == 100 and len(row.only_right) == 600
+
+
+def test_cells_of_a_digest_are_found_once(spark):
+    """The loop over cells hashes nothing: the cost of a digest is one look at its bits per cell."""
+    for minus in (None, "other"):
+        over_cells = P.cells_sql("ds", 3, minus).split("i -> ")[1]
+        assert "getbit" in over_cells and "hash" not in over_cells
+    digests, other = list(range(-40, 60)), list(range(30, 90))
+    df = spark.createDataFrame([(digests, other)], "ds array<bigint>, other array<bigint>")
+    (row,) = df.selectExpr(f"{P.cells_sql('ds', 3)} as a", f"{P.cells_sql('other', 3)} as b", f"{P.cells_sql('ds', 3, 'other')} as c").collect()
+    hashes = {d: (mixed % 2**64, check) for d, mixed, check in spark.range(-40, 90).selectExpr("id", "xxhash64(id, 3)", "hash(id)").collect()}
+    bits = P.WIDTH.bit_length() - 1
+
+    def sketch(ds):
+        cells = [[0, 0, 0] for _ in range(P.CELLS)]
+        for d in ds:
+            for table in range(3):
+                cell = cells[table * P.WIDTH + (hashes[d][0] >> bits * table) % P.WIDTH]
+                cell[:] = cell[0] + 1, cell[1] ^ d, cell[2] ^ hashes[d][1]
+        return [tuple(c) for c in cells]
+
+    a, b = sketch(digests), sketch(other)
+    assert [tuple(c) for c in row.a] == a and [tuple(c) for c in row.b] == b
+    assert [tuple(c) for c in row.c] == [(p[0] - q[0], p[1] ^ q[1], p[2] ^ q[2]) for p, q in zip(a, b, strict=True)]

@@ -47,17 +47,24 @@ def digests_of(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(paragraphs_of(text), lambda x: F.xxhash64(x))))
 
 
-def _lands(digest: str, cell: str, seed: int) -> str:
-    """Whether ``digest`` lands in cell number ``cell`` of a sketch of this seed."""
+def _mask(digest: str, seed: int) -> str:
+    """Bigint whose bit i is set if ``digest`` lands in cell number i of a sketch of this seed: one bit in each table."""
     mixed = f"xxhash64({digest}, {seed})"
-    return f"(shiftrightunsigned({mixed}, {_BITS} * ({cell} div {WIDTH})) & {WIDTH - 1}) = {cell} % {WIDTH}"
+    return " | ".join(f"shiftleft({1 << table * WIDTH}L, cast(shiftrightunsigned({mixed}, {_BITS * table}) & {WIDTH - 1} as int))" for table in range(3))
 
 
-def cells_sql(digests: str, seed: int = 0) -> str:
-    """Cells ``struct<c int, k bigint, x int>`` of the sketch of an array of distinct digests."""
+def cells_sql(digests: str, seed: int = 0, minus: str | None = None) -> str:
+    """Cells ``struct<c int, k bigint, x int>`` of the sketch of an array of distinct digests.
+
+    Those of ``minus``, if given, are subtracted: they land in the same cells with count -1. A digest's
+    check hash and cells are computed once; the array of one element binds them.
+    """
+    signed = "transform({0}, d -> named_struct('c', {1}, 'k', d, 'x', hash(d), 'm', {2}))"
+    every = [signed.format(ds, sign, _mask("d", seed)) for ds, sign in ((digests, 1), (minus, -1)) if ds]
     return (
-        f"transform(sequence(0, {CELLS - 1}), i -> aggregate({digests}, named_struct('c', 0, 'k', 0L, 'x', 0), (s, d) -> "
-        f"if({_lands('d', 'i', seed)}, named_struct('c', s.c + 1, 'k', s.k ^ d, 'x', s.x ^ hash(d)), s)))"
+        f"transform(array(concat({', '.join(every)})), ds -> transform(sequence(0, {CELLS - 1}), i -> "
+        f"aggregate(ds, named_struct('c', 0, 'k', 0L, 'x', 0), (s, e) -> "
+        f"if(getbit(e.m, i) = 1, named_struct('c', s.c + e.c, 'k', s.k ^ e.k, 'x', s.x ^ e.x), s))))[0]"
     )
 
 
@@ -68,8 +75,9 @@ def fingerprint_sql(digests: str) -> str:
     )
 
 
-def _pure(cells: str) -> str:
-    return f"array_distinct(filter({cells}, s -> abs(s.c) = 1 and hash(s.k) = s.x))"
+def _pure(cells: str, seed: int) -> str:
+    fits = f"array_distinct(filter({cells}, s -> abs(s.c) = 1 and hash(s.k) = s.x))"
+    return f"transform({fits}, g -> named_struct('c', g.c, 'k', g.k, 'x', g.x, 'm', {_mask('g.k', seed)}))"
 
 
 def peeled(df: DataFrame, seed: int) -> DataFrame:
@@ -77,17 +85,16 @@ def peeled(df: DataFrame, seed: int) -> DataFrame:
 
     Each round that finds something empties a cell at least, so ``CELLS`` rounds suffice.
     """
-    minus = "zip_with({a}, {b}, (p, q) -> named_struct('c', p.c - q.c, 'k', p.k ^ q.k, 'x', p.x ^ q.x))"
-    df = df.withColumn("cells", F.expr(minus.format(a=cells_sql("left", seed), b=cells_sql("right", seed))))
-    none = "cast(array() as array<struct<c:int,k:bigint,x:int>>)"
+    df = df.withColumn("cells", F.expr(cells_sql("left", seed, "right")))
+    none = "cast(array() as array<struct<c:int,k:bigint,x:int,m:bigint>>)"
     taken = (
         "transform(st.cells, (cell, i) -> aggregate(st.pure, cell, (s, g) -> "
-        f"if({_lands('g.k', 'i', seed)}, named_struct('c', s.c - g.c, 'k', s.k ^ g.k, 'x', s.x ^ g.x), s)))"
+        "if(getbit(g.m, i) = 1, named_struct('c', s.c - g.c, 'k', s.k ^ g.k, 'x', s.x ^ g.x), s)))"
     )
     step = (  # the array of one element binds the new cells, so that they are computed once
-        f"transform(array({taken}), n -> named_struct('cells', n, 'pure', {_pure('n')}, 'found', concat(st.found, st.pure)))[0]"
+        f"transform(array({taken}), n -> named_struct('cells', n, 'pure', {_pure('n', seed)}, 'found', concat(st.found, st.pure)))[0]"
     )
-    start = f"named_struct('cells', cells, 'pure', {_pure('cells')}, 'found', {none})"
+    start = f"named_struct('cells', cells, 'pure', {_pure('cells', seed)}, 'found', {none})"
     df = df.withColumn("peel", F.expr(f"aggregate(sequence(1, {CELLS}), {start}, (st, r) -> if(size(st.pure) = 0, st, {step}))"))
     return df.select(
         *[c for c in df.columns if c not in ("cells", "peel")],
@@ -103,13 +110,13 @@ def _dealt(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key, "part").agg(side(0).alias("left"), side(1).alias("right"))
 
 
-def differences(pairs: DataFrame, key: list[str]) -> DataFrame:
-    """Differing digests of each pair of digest sets: ``key, only_left, only_right``.
+def recovered(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """Differing digests of each pair of digest sets, by sketch: rows ``key, only_left, only_right``, one or more of a pair.
 
     ``pairs`` has unique, non-null ``key`` columns and arrays ``left``, ``right`` of distinct digests. It is
     read more than once.
     """
-    first = staged(peeled(pairs, 0), "iblt-0").select(*key, "only_left", "only_right", "ok")
+    first = staged(peeled(pairs, 0).select(*key, "only_left", "only_right", "ok"), "iblt-0")
     done = [first.where("ok")]
     failed = first.where("not ok").select(*key)
     parts = f"cast(greatest(2, ceil((size(left) + size(right)) / {PER_SKETCH})) as bigint)"
@@ -119,7 +126,10 @@ def differences(pairs: DataFrame, key: list[str]) -> DataFrame:
     rows = rows.select(*key, "side", "d", F.expr("pmod(shiftrightunsigned(xxhash64(d, 1), 24), parts)").alias("part"))
     seed = 1
     while not failed.isEmpty():
-        tried = staged(peeled(_dealt(rows, key), seed), f"iblt-{seed}")
+        tried = peeled(_dealt(rows, key), seed)
+        # digests stay with failed sketches only, as recovered ones do with others
+        kept = [F.when(F.col("ok") == (c[:4] == "only"), F.col(c)).alias(c) for c in ("only_left", "only_right", "left", "right")]
+        tried = staged(tried.select(*key, "part", "ok", *kept), f"iblt-{seed}")
         done.append(tried.where("ok").select(*key, "only_left", "only_right", "ok"))
         failed = tried.where("not ok")
         seed += 1
@@ -129,8 +139,13 @@ def differences(pairs: DataFrame, key: list[str]) -> DataFrame:
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)
+    return every.drop("ok")
+
+
+def differences(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """``recovered`` with one row per pair."""
     joined = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    return every.groupBy(*key).agg(joined("only_left"), joined("only_right"))
+    return recovered(pairs, key).groupBy(*key).agg(joined("only_left"), joined("only_right"))
 
 
 def following(ids: DataFrame) -> DataFrame:
@@ -170,9 +185,9 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     trio = sets.join(order.select("id", "h", "next_id", "next_h"), ["id", "h"]).join(nexts, ["next_id", "next_h"])
     sides = F.explode(F.expr("array(named_struct('kind', 0, 'right', edit), named_struct('kind', 1, 'right', next))")).alias("p")
     pairs = trio.select("id", "h", F.col("own").alias("left"), sides).select("id", "h", F.col("p.kind").alias("kind"), "left", F.col("p.right").alias("right"))
-    key = ["id", "h", "kind"]
-    found = differences(pairs, key).select(*key, F.size("only_left").alias("gone"), F.size("only_right").alias("come"))
-    near = found.groupBy("id", "h").pivot("kind", [0, 1]).agg(F.first("gone").alias("gone"), F.first("come").alias("come"))
+    found = recovered(pairs, ["id", "h", "kind"])
+    count = lambda k, side: F.expr(f"cast(sum(if(kind = {k}, size({side}), 0)) as int)")
+    near = found.groupBy("id", "h").agg(*[count(k, side).alias(f"{k}_{name}") for k in (0, 1) for side, name in (("only_left", "gone"), ("only_right", "come"))])
     rows = sets.join(near, ["id", "h"]).join(order, ["id", "h"])
     likeness = "if(size(own) + `{k}_come` = 0, 1D, (size(own) - `{k}_gone`) / cast(size(own) + `{k}_come` as double))"
     rows = rows.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
