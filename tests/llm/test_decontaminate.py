@@ -61,3 +61,37 @@ def test_blocks_find_items_of_the_window(spark):
     b = spark.createDataFrame([(7, long_item), (8, near), (9, "other words of no document at all")], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.start, round(r.similarity, 3)) for r in D.find_leaks(d, b).collect()}
     assert got == {(1, 7, 2, round(291 / 301, 3)), (1, 8, 2, 1.0)}
+
+
+def test_windows_at_every_place(spark):
+    """Passages whose shingles lie elsewhere than in the item (parts in another order, words put in) and the best window's start."""
+    r = random.Random(8)
+    vocabulary = ["x%d" % i for i in range(500)]
+    items = [(i, " ".join(r.choices(vocabulary, k=r.choice([3, 5, 9, 20, 48, 60, 61, 90])))) for i in range(40)]
+    docs = []
+    for i in range(160):
+        words, part = r.choices(vocabulary, k=r.randint(0, 60)), items[i % 40][1].split()
+        cut = r.randint(0, len(part))
+        part = [part[cut:] + part[:cut], part[:cut] + ["in"] + part[cut:], part[cut // 9 :], part + part[::-1] + part[3:] + part[:3]][i // 40]
+        at = r.randint(0, len(words))
+        docs.append((i, " ".join(words[:at] + part + words[at:])))
+    docs += [(300, docs[2][1]), (300, docs[45][1]), (None, docs[2][1]), (301, " ".join(items[4][1].split()[2:]))]
+    want = {}
+    for item_id, item in items:
+        w = item.split()
+        k = min(5, len(w))
+        a = Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+        for doc_id, text in docs:
+            t = text.split()
+            for s in range(max(1, len(t) - len(w) + 1)):
+                x = t[s : s + len(w)]
+                b = Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
+                same, all_ = sum((a & b).values()), sum((a | b).values())
+                if same >= 0.75 * all_:
+                    old = want.get((doc_id, item_id), (0, 0))
+                    want[doc_id, item_id] = max(old, (same / all_, -s))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (round(x.similarity, 6), -x.start) for x in D.find_leaks(d, b).collect()}
+    assert got == {k: (round(v[0], 6), v[1]) for k, v in want.items()}
+    assert any(i is not None and i < 40 for i, _ in got), "no reordered passage was found"

@@ -1,9 +1,10 @@
 """Benchmark decontamination with DataFrame functions only: SimHash of item-sized windows.
 
 1. Words are runs without blanks, in lower case; shingles are ``SHINGLE`` words (an item with
-   fewer words is one shingle). Similarity below one shared shingle is 0, so only windows that
-   hold a shingle of the item, laid so that this shingle lies where the item has it, are
-   fingerprinted. Windows have the item's number of words, or are the whole text if shorter.
+   fewer words is one shingle). Windows have the item's number of words at every place, or are the
+   whole text if shorter. Those that hold too few shingles of all items of their length to be
+   similar to any one, wherever in the item the shingles lie, are not fingerprinted: at
+   similarity 0.75 6 of 7 must be shared, so this loses no pair.
 2. A window's and an item's 64-bit SimHash take the majority, bit by bit, of its shingles'
    hashes. The fingerprint is cut into ``RADIUS + 1`` blocks: two fingerprints within
    ``RADIUS`` differ in at most ``RADIUS`` bits, so at least one block is equal. Windows meet
@@ -14,9 +15,10 @@
    ``SIMILARITY`` confirms.
 
 Texts of any length are read whole. Null and empty texts, and items without words, match
-nothing. Rows that repeat a doc_id with the same or other text are searched each, and their
-matches count for the id. A null doc_id or item_id is a value like others. No Python runs on
-the executors; the benchmark is broadcast only while its counted shingles fit 32 MB.
+nothing. Equal texts are searched once, for all their ids. Rows that repeat a doc_id with the same
+or other text are searched each, and their matches count for the id. A null doc_id or item_id is a
+value like others. No Python runs on the executors; the benchmark is broadcast only while its
+counted shingles fit 32 MB.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ SIMILARITY = 0.75
 BITS = 64
 RADIUS = 27  # similarity 0.75 gives 11 differing bits on average
 BLOCKS = RADIUS + 1
-_START = "greatest(0, least(pos - offset, n - length))"
 
 
 def words_of(text: Column) -> Column:
@@ -72,6 +73,23 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def starts_of(hits: DataFrame, k: int) -> DataFrame:
+    """Window starts that can reach ``SIMILARITY``: ``body, length, runs`` (array of ``low`` to ``high``, each start once).
+
+    ``hits`` has a text's number of words ``n`` and, in order, the places ``at`` of its shingles that items of ``length``
+    words have. A window shares at most as many shingles with an item as it holds of these, and the similarity of sizes m
+    and w needs ``SIMILARITY * (m + w) / (1 + SIMILARITY)`` shared ones. A start belongs to its window's first hit.
+    """
+    share = SIMILARITY / (1 + SIMILARITY)
+    h = hits.withColumn("m", F.col("length") - (k - 1)).withColumn("last", F.greatest(F.lit(0), F.col("n") - F.col("length")))
+    # less a little: a rounding error must not ask for one more
+    h = h.withColumn("need", F.ceil(F.lit(share) * (F.col("m") + F.least("m", F.col("n") - (k - 1))) - 1e-6).cast("int"))
+    h = h.where(F.size("at") >= F.col("need"))
+    run = "struct(greatest(0, get(at, i - 1) + 1, get(at, i + need - 1) - m + 1) as low, least(get(at, i), last) as high)"
+    runs = F.expr(f"filter(transform(sequence(0, size(at) - need), i -> {run}), r -> r.low <= r.high)")
+    return h.select("body", "length", runs.alias("runs")).where(F.size("runs") > 0)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document and benchmark item that it holds: ``doc_id, item_id, start, similarity``.
 
@@ -91,34 +109,42 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id
     every = staged(staged(every, "decontam-shingles").withColumn("item_fp", simhash(F.col("item_hashes"))), "decontam-prints")
     every = staged(every.withColumn("item_blocks", blocks_of(F.col("item_fp"))), "decontam-items")
     sizes = [r["k"] for r in every.select("k").distinct().collect()]  # at most SHINGLE values
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = None
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("body", F.xxhash64("text"))
+    laid = None
     for k in sorted(sizes) or [SHINGLE]:
-        anchors = staged(
-            every.where(F.col("k") == k).select("item", "length", F.posexplode("item_hashes").alias("offset", "hash")).distinct(), "decontam-anchors"
-        )
-        texts = own.withColumn("words", words_of(F.col("text"))).select("doc_id", F.xxhash64("text").alias("body"), F.size("words").alias("n"), shingles_of(F.col("words"), k).alias("hashes"))
+        anchors = staged(every.where(F.col("k") == k).select("length", F.explode("item_hashes").alias("hash")).distinct(), "decontam-anchors")
+        texts = own.withColumn("words", words_of(F.col("text"))).select("body", F.size("words").alias("n"), shingles_of(F.col("words"), k).alias("hashes"))
         # outer: else a filter on the array is pushed down, and splits the text anew for each shingle
-        hits = texts.select("doc_id", "body", "n", "hashes", F.posexplode_outer("hashes").alias("pos", "hash")).join(small_or_plain(anchors, 48), "hash")
-        hits = hits.select("doc_id", "body", "length", F.expr(_START).alias("start"), F.expr(f"slice(hashes, {_START} + 1, greatest(length - {k - 1}, 1))").alias("window"))
-        found = hits if found is None else found.unionByName(hits)
-    windows = found.groupBy("doc_id", "body", "length", "start").agg(F.first("window").alias("window"))
-    windows = staged(windows, "decontam-windows").withColumn("fp", simhash(F.col("window")))
+        hits = texts.select("body", "n", F.posexplode_outer("hashes").alias("pos", "hash")).join(small_or_plain(anchors, 48), "hash")
+        runs = starts_of(hits.groupBy("body", "n", "length").agg(F.sort_array(F.collect_set("pos")).alias("at")), k).withColumn("k", F.lit(k))
+        laid = runs if laid is None else laid.unionByName(runs)
+    laid = staged(laid, "decontam-runs")
+    bodies = staged(laid.select("body").distinct(), "decontam-bodies")
+    own = staged(own.join(small_or_plain(bodies, 16), "body", "left_semi"), "decontam-texts")
+    texts = own.groupBy("body").agg(F.first("text").alias("text")).withColumn("words", words_of(F.col("text")))
+    windows = None
+    for k in sorted(sizes) or [SHINGLE]:
+        w = texts.select("body", shingles_of(F.col("words"), k).alias("hashes")).join(laid.where(F.col("k") == k), "body")
+        w = w.select("body", "length", "hashes", F.explode("runs").alias("run"))
+        w = w.select("body", "length", "hashes", F.explode(F.sequence("run.low", "run.high")).alias("start"))
+        w = w.select("body", "length", "start", F.expr(f"slice(hashes, start + 1, length - {k - 1})").alias("window"))
+        windows = w if windows is None else windows.unionByName(w)
+    # dealt by window: one long text's windows are many tasks' work
+    windows = staged(windows.repartition("body", "length", "start"), "decontam-windows").withColumn("fp", simhash(F.col("window")))
     windows = staged(windows, "decontam-window-prints").withColumn("blocks", blocks_of(F.col("fp")))
-    # The blocks find the items: any item of the window's length, not only the one whose shingle laid the window.
+    # The blocks find the items: any item of the window's length, not only those whose shingles laid the window.
     index = staged(every.select("item", "length", "item_fp", "item_blocks", F.posexplode("item_blocks").alias("block", "value")).dropDuplicates(["item", "block"]), "decontam-index")
     pairs = windows.select("*", F.posexplode("blocks").alias("block", "value")).join(small_or_plain(index, 64 + 8 * BLOCKS), ["length", "block", "value"])
     earlier = F.expr("exists(zip_with(slice(blocks, 1, block), slice(item_blocks, 1, block), (x, y) -> x = y), z -> z)")
     pairs = pairs.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS) & ~earlier)  # each pair once
-    pairs = pairs.select("doc_id", "start", "window", "item").join(every.select("item", "item_hashes").dropDuplicates(["item"]), "item")
+    pairs = pairs.select("body", "start", "window", "item").join(every.select("item", "item_hashes").dropDuplicates(["item"]), "item")
     pairs = pairs.withColumn("similarity", weighted_similarity(F.col("window"), F.col("item_hashes"))).where(F.col("similarity") >= SIMILARITY)
-    best = pairs.groupBy("doc_id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
+    best = pairs.groupBy("body", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
+    best = own.select("doc_id", "body").distinct().join(best, "body").groupBy("doc_id", "item").agg(F.max("best").alias("best"))
     ids = small_or_plain(staged(every.select("item", "item_id"), "decontam-ids"), 48)
     return best.join(ids, "item").select("doc_id", "item_id", (-F.col("best.back")).alias("start"), "best.similarity")
 
 
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: documents that hold a benchmark item, one row per document and item."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
